@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .langid import language_ids
+from .licenses import license_labels
 from .packing import pack
+from .secrets import secret_digests
+from .sharding import shard_documents
 from .simhash import simhash_classes
 
 
@@ -16,10 +19,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -29,7 +44,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
+    "op7_licenses": op7_licenses,
     "op8_langid": op8_langid,
     "op10_packing": op10_packing,
 }
