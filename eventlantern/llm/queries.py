@@ -11,6 +11,7 @@ from .langid import language_ids
 from .licenses import license_labels
 from .packing import pack
 from .quality import quality_rules
+from .repeats import remove_repeats
 from .secrets import secret_digests
 from .sharding import shard_documents
 from .simhash import simhash_classes
@@ -34,6 +35,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op4_repeats": op4_repeats,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_licenses": op7_licenses,
