@@ -15,10 +15,13 @@ sequential pass. Tokens are made once, written as two-byte ids, and cut where th
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,7 @@ from .common import materialize, remove, scratch, small_batches
 
 LENGTH = 4096
 END_ID = 2
-CACHE_CHUNKS = 600_000
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_000_000
 MAX_QUEUES = 1024  # sources beyond this share queues by hash
 BROADCAST_ROWS = 200_000
 
@@ -36,17 +38,40 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
+# Latin-1 letters, numbers and white space in lower case, for splitting by the faster of two engines.
+_LETTER, _NUMBER, _BLANK = "a-z\xdf-\xf6\xf8-\xff\xaa\xb5\xba", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r\\x20\x85\xa0"
+_LATIN = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
+
+
+_PLAIN = re.sub(rf"[^{_LETTER}0-9]", "", "".join(map(chr, range(256)))).encode("latin-1") + b" \t\n\r.,"
+
+
+def spaced(text: str) -> str | None:
+    """The lower-case text with full stops and commas apart, if those are its only marks and never touch; else None.
+
+    Every chunk between blanks is then a run of letters and digits or one mark, whatever stands next to it.
+    """
+    low = text.lower()
+    try:
+        if low.encode("latin-1").translate(None, _PLAIN):
+            return None
+    except UnicodeEncodeError:
+        return None
+    if ".." in low or ",," in low or ".," in low or ",." in low:
+        return None
+    return low.replace(".", " . ").replace(",", " , ")
+
+
 class Encoder:
-    """Ids of whole texts as little-endian uint16 bytes; pieces between splits are looked up once.
+    """Ids of whole texts as little-endian uint16 bytes; a piece between splits is encoded once.
 
     The tokenizer splits a normalised text into pieces that are encoded independently, so the ids of a
-    text are the ids of its pieces in order. Texts with a special token's string, and any text where
-    splitting is not by this rule, go to the tokenizer whole.
+    text are the ids of its pieces in order. Texts with a special token's string, and tokenizers that
+    split by another rule, are encoded whole.
     """
 
     def __init__(self, path: str):
         import json
-        import unicodedata
 
         import regex
         from tokenizers import Tokenizer
@@ -67,69 +92,91 @@ class Encoder:
             self.ends = np.zeros(1 << 16, bool)
             self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
         self.find = regex.compile(SPLIT).findall
-        self.plain = __import__("re").compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-        self.normal = unicodedata.normalize
         self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
     def one(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. No piece spans white space, so chunks between blanks are looked up first."""
+        """Ids of each text. Plain texts are cut and counted off by Arrow, each distinct chunk looked up once."""
         if not self.by_piece:
             return [self.one(t) for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        get = self.chunks.get
-        rows, found, fresh = [], [], {}
-        for t in texts:
-            row = None if any(s in t for s in SPECIAL) else t.replace("\n", " ").split(" ")
-            ids = None if row is None else list(map(get, row))
-            if ids is not None and None in ids:
-                fresh.update((c, None) for c, x in zip(row, ids, strict=True) if x is None)
-            rows.append(row)
-            found.append(ids)
-        if fresh:
-            self.learn(fresh)
-        out = []
-        for t, row, ids in zip(texts, rows, found, strict=True):
-            if ids is None:
-                out.append(self.one(t))
+        out: list[bytes | None] = [None] * len(texts)
+        plain, at = [], []
+        for k, t in enumerate(texts):
+            if (chunks := spaced(t)) is not None:
+                plain.append(chunks)
+                at.append(k)
+            elif any(s in t for s in SPECIAL):
+                out[k] = self.one(t)
             else:
-                out.append(b"".join(map(self.chunks.__getitem__, row) if None in ids else ids))
+                row = self.split(t)
+                self.learn([w for w in set(row) if w not in self.known])
+                out[k] = b"".join(map(self.known.__getitem__, row))
+        if plain:
+            lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+            coded = lists.values.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            self.learn([w for w in distinct if w not in self.known])
+            ids = [self.known[w] for w in distinct]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+            begin, data = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint16)
+            chunk = coded.indices.to_numpy()
+            n = size[chunk]
+            ends = np.cumsum(n)
+            every = data[np.repeat(begin[chunk] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            cut = 2 * np.r_[0, ends][lists.offsets.to_numpy()]
+            for k, a, b in zip(at, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                out[k] = every[a:b]
         return out
 
-    def learn(self, chunks) -> None:
-        pieces = {c: self.split(c) for c in chunks}
-        known = self.known
-        new = list({w for ws in pieces.values() for w in ws if w not in known})
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
+    def learn(self, new: list[str]) -> None:
+        """Make the ids of chunks known: of letters alone as one piece, of others by their pieces."""
+        mixed = {c: self.find(c) for c in new if not c.isalpha()}
+        pieces = list({w for ws in mixed.values() for w in ws if w not in self.known} | {c for c in new if c not in mixed})
+        for at in range(0, len(pieces), 2048):
+            part = pieces[at : at + 2048]
             ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
-                known.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+                raw, begin = ids.tobytes(), 0
+                for w, end in zip(part, (2 * ends).tolist(), strict=True):
+                    self.known[w] = raw[begin:end]
+                    begin = end
             else:
-                known.update((w, self.one(w)) for w in part)
-        for c, ws in pieces.items():
-            self.chunks[c] = b"".join(map(known.__getitem__, ws))
+                self.known.update((w, self.one(w)) for w in part)
+        self.known.update({c: b"".join(map(self.known.__getitem__, ws)) for c, ws in mixed.items()})
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() and "'" not in text:
-            return self.plain(text.lower())
-        low = self.normal("NFC", text)
-        low = "".join(c.lower() for c in low) if "Σ" in low or "İ" in low else low.lower()
+        """The pieces. Latin-1 texts are their own normal form; an apostrophe can begin a longer piece."""
+        try:
+            if "'" not in text:
+                text.encode("latin-1")
+                return _LATIN(text.lower())
+        except UnicodeEncodeError:
+            pass
+        low = unicodedata.normalize("NFC", text)
+        low = "".join(c.lower() for c in low) if "\u03a3" in low or "\u0130" in low else low.lower()
         return self.find(low)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that pieces stay known from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _tokens(path: str, queues: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encode = Encoder(path)
+        encode = encoder(path)
         part = TaskContext.get().partitionId()
         filled: dict[str, int] = {}
         row = 0
@@ -236,7 +283,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
     sequences are full but the last. An empty table gives no piece. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 2000)
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"))
     if len(rows.select("queue").distinct().limit(MAX_QUEUES + 1).collect()) > MAX_QUEUES:
