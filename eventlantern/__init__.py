@@ -1,0 +1 @@
+"""Deterministic search over security-event metadata on Spark."""
