@@ -40,10 +40,17 @@ def _canonical(value: Column) -> Column:
     return F.regexp_replace(F.when(hive, F.translate(low, "/", "\\")).otherwise(low), r"\\+", r"\\")
 
 
+# What any match must hold, cheaper to look for than the pattern itself.
+_NEEDS = {
+    IP: lambda t: t.rlike(r"[0-9]\.[0-9]"), DOTTED: lambda t: t.rlike(r"[0-9]\.[0-9]"), HASH: lambda t: t.rlike("[a-fA-F0-9]{32}"), UUID: lambda t: t.contains("-"),
+    FILE: lambda t: t.rlike(rf"(?i)\.(?:{_EXT})\b"), REGISTRY: lambda t: t.contains("\\") | t.contains("/"), DASHED: lambda t: t.contains("-"),
+}
+
+
 def _all(text: Column, pattern: str) -> Column:
-    """Distinct canonical matches, by position. A text without a match costs one search."""
+    """Distinct canonical matches, by position."""
     found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _canonical), lambda x: x != ""))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<string>"))
+    return F.when(_NEEDS[pattern](text), found).otherwise(F.array().cast("array<string>"))
 
 
 def _whole(value: Column, pattern: str) -> Column:
@@ -68,7 +75,7 @@ def identifiers(text: Column) -> Column:
         t = s["t"]
         return let(
             hosts, t=t, ip=_all(t, IP), dotted_numeric=F.filter(_all(t, DOTTED), lambda x: ~_whole(x, IP)), hash=_all(t, HASH), uuid=_all(t, UUID),
-            file_name=_all(t, FILE), registry_path=_all(t, REGISTRY), found=F.when(t.rlike(HOST), F.regexp_extract_all(t, F.lit(HOST), F.lit(0))).otherwise(none),
+            file_name=_all(t, FILE), registry_path=_all(t, REGISTRY), found=F.when(t.contains("."), F.regexp_extract_all(t, F.lit(HOST), F.lit(0))).otherwise(none),
         )
 
     def hosts(s: Column) -> Column:
@@ -81,7 +88,7 @@ def identifiers(text: Column) -> Column:
         t, own = s["p"]["t"], s["hosts"]
         shown = F.transform(s["p"]["found"], lambda m: F.when(F.array_contains(own, _canonical(m)), F.lit(" ")).otherwise(m))
         left = F.array_join(F.zip_with(F.split(t, HOST, -1), shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        more = F.when(t.rlike(DASHED), F.filter(_all(F.when(F.size(own) > 0, left).otherwise(t), DASHED), _hostlike)).otherwise(none)
+        more = F.when(_NEEDS[DASHED](t), F.filter(_all(F.when(F.size(own) > 0, left).otherwise(t), DASHED), _hostlike)).otherwise(none)
         return F.struct(*[s["p"][c].alias(c) for c in CATEGORIES[:-1]], F.array_distinct(F.concat(own, more)).alias("hostname"))
 
     return let(plain, t=bounded(text))

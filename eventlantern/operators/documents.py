@@ -11,8 +11,15 @@ from ..functions.text import field_name_words, word_list
 from ..functions.variants import has_value, plain
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input of fewer splits than cores is dealt over the cores before it is analysed; a large one is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _analysed(df: DataFrame, *keep: str) -> DataFrame:
     """Adds ids and tokens: words of `text`, then the identifiers of `value_text`, one for each category."""
+    df = spread(df)
     with_ids = df.withColumn("ids", identifiers(F.col("value_text")))
     return with_ids.select("offense_id", "event_index", "event_id", "load_ord", *keep, "ids", F.concat(word_list(F.col("text")), values_of(F.col("ids"))).alias("tokens"))
 

@@ -144,8 +144,8 @@ def bm25(docs: DataFrame, query: str | Query, limit: int = 10, min_score: float
     length = F.size("tokens").cast("double")
     n, mean, *df = docs.agg(F.count("*"), F.avg(length), *[F.count_if(F.array_contains("tokens", t)) for t in q.tokens]).first()
     weights = [math_idf(n, d) for d in df]
-    tf = [F.size(_equal(t)).cast("double") for t in q.tokens]
-    score = reduce(lambda a, b: a + b, [scoring.bm25_term(F.lit(w), f, length, F.lit(float(mean or 0.0))) for w, f in zip(weights, tf, strict=True)])
+    tf = {f"tf{k}": F.size(_equal(t)).cast("double") for k, t in enumerate(q.tokens)}
+    score = let(lambda s: reduce(lambda a, b: a + b, [scoring.bm25_term(F.lit(w), s[f], s["len"], F.lit(float(mean or 0.0))) for w, f in zip(weights, tf, strict=True)]), len=length, **tf)
     hits = docs.where(bm25_gate(q)).withColumn("_score", score).withColumn("score", F.bround("_score", 4))
     terms = F.array_compact(F.array(*[F.when(F.array_contains("tokens", t), F.struct(F.lit(t).alias("query_term"), F.lit(t).alias("matched_term"), F.lit("exact").alias("match_type"), F.lit(1.0).alias("score"))) for t in q.tokens if not q.weak(t)])) if any(not q.weak(t) for t in q.tokens) else F.array()
     return _ranked(hits, limit, min_score).select("offense_id", "event_index", "event_id", "score", terms.cast(TERMS).alias("matched_terms"), F.array_sort(exact_ids(q)).alias("matched_identifiers"), F.lit("bm25").alias("method"), "load_ord", *_shown(docs))
