@@ -42,7 +42,8 @@ def lowered(text: Column) -> Column:
 
 
 def words(low: Column) -> Column:
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    """Runs of WORD's characters, as what stands between runs of others: the far faster search of the two."""
+    return F.array_remove(F.split(low, f"{NOT_WORD}+"), "")
 
 
 def strings(values) -> Column:
