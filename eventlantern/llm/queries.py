@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import contained_items
 from .langid import language_ids
 from .licenses import license_labels
+from .oracles import ORACLES as ORACLES
 from .packing import pack
 from .quality import quality_rules
 from .repeats import remove_repeats
@@ -78,4 +79,3 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
