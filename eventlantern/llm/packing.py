@@ -6,7 +6,7 @@ over to the next window, and the queue with the most urgent next token is served
 target is each source's share of all tokens, which lets every queue last to the final window, so only
 that window is not full.
 
-Serving by urgency has a closed form: token x of a queue with t tokens is due at (x + 1) / t, and the
+Serving by urgency has a closed form: token x of a queue with t tokens is due at (x + 1/2) / t, and the
 first `length * s` tokens in order of due time (ties: by queue) lie before window s. So a task finds
 the state at any window on its own from the queue sizes, and partitions carry deficits over without a
 sequential pass. Tokens are made once, written as two-byte ids, and cut where they lie: no shuffle.
@@ -200,28 +200,32 @@ def _tokens(path: str, queues: int):
 
 
 def window_state(sizes: list[int], taken: int) -> list[int]:
-    """How many tokens of each queue are among the first `taken` in order of due time."""
+    """How many tokens of each queue are among the first `taken` in order of due time.
+
+    Those due by the time `taken / total` are a first guess; then the last due go or the next due come.
+    """
     total = sum(sizes)
     taken = min(taken, total)
     if not total:
         return [0] * len(sizes)
-    got = [taken * t // total for t in sizes]
-    left = taken - sum(got)
-    if left:
-        due = [_Due(g + 1, t, k) for k, (g, t) in enumerate(zip(got, sizes, strict=True)) if g < t]
+    got = [(2 * taken * t + total) // (2 * total) for t in sizes]
+    more = taken - sum(got)
+    if more > 0:
+        due = [_Due(2 * g + 1, t, k) for k, (g, t) in enumerate(zip(got, sizes, strict=True)) if g < t]
         heapq.heapify(due)
-        for _ in range(left):
-            x = due[0]
+        for _ in range(more):
+            x = heapq.heappop(due)
             got[x.k] += 1
             if got[x.k] < x.t:
-                heapq.heapreplace(due, _Due(got[x.k] + 1, x.t, x.k))
-            else:
-                heapq.heappop(due)
+                heapq.heappush(due, _Due(x.x + 2, x.t, x.k))
+    for _ in range(-more):
+        x = max((_Due(2 * g - 1, t, k) for k, (g, t) in enumerate(zip(got, sizes, strict=True)) if g))
+        got[x.k] -= 1
     return got
 
 
 class _Due:
-    """Token number over queue size, compared exactly."""
+    """Twice the due time of a token, as a fraction compared exactly; ties by queue."""
 
     __slots__ = ("k", "t", "x")
 
@@ -232,6 +236,9 @@ class _Due:
         a, b = self.x * other.t, other.x * self.t
         return a < b or a == b and self.k < other.k
 
+    def __gt__(self, other) -> bool:
+        return other < self
+
 
 def _cut(sizes: list[int], length: int):
     total = sum(sizes)
