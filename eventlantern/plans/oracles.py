@@ -151,9 +151,9 @@ r AS (SELECT page_id, host, {scores} FROM g) SELECT page_id, host FROM r WHERE l
 
 def word_sets() -> str:
     def side(s: str) -> str:
-        return f"SELECT DISTINCT unnest({words('text')}) AS term FROM documents WHERE source = '{s}'"
+        return f"SELECT DISTINCT unnest({words('text')}) AS term FROM documents WHERE lang {s} 'en'"
 
-    return f"""WITH a AS ({side('src1')}), b AS ({side('src2')}) SELECT 'both' AS what, count(*) AS n FROM (SELECT term FROM a INTERSECT SELECT term FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT term FROM a UNION SELECT term FROM b)
+    return f"""WITH a AS ({side('=')}), b AS ({side('<>')}) SELECT 'both' AS what, count(*) AS n FROM (SELECT term FROM a INTERSECT SELECT term FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT term FROM a UNION SELECT term FROM b)
 UNION ALL SELECT 'first_only', count(*) FROM (SELECT term FROM a EXCEPT SELECT term FROM b)"""
 
 
@@ -198,5 +198,6 @@ SELECT e.offense_id, count(*) AS number_of_events, {iso('min(t)')} AS first_even
     "coverage_check": f"SELECT CAST(0 AS BIGINT) AS gaps, CAST({len(load_mapping())} AS BIGINT) AS fields",
     "identifier_sets": word_sets(),
     "scope_scan": "SELECT doc_id, lang FROM documents WHERE source = 'src5'",
-    "combined_scopes": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS load_ord FROM documents WHERE source IN ('src1', 'src2')",
+    "combined_scopes": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS load_ord FROM documents WHERE lang IS NOT NULL",
+    "intake_stream": f"SELECT offense_id, event_index, event_type FROM ({PLACE})",
 }

@@ -235,9 +235,9 @@ def coverage_check(spark, sf_dir):
 
 
 def identifier_sets(spark, sf_dir):
-    """Intersection, union and difference of two sources' words."""
-    t = _table(spark, sf_dir, "documents").select("source", F.explode(word_list(F.col("text"))).alias("term"))
-    a, b = (t.where(F.col("source") == s).select("term").distinct() for s in ("src1", "src2"))
+    """Intersection, union and difference of the words of English and of all other documents."""
+    t = _table(spark, sf_dir, "documents").select((F.col("lang") == "en").alias("en"), F.explode(word_list(F.col("text"))).alias("term"))
+    a, b = (t.where(test).select("term").distinct() for test in ("en", "not en"))
     parts = {"both": a.intersect(b), "either": a.union(b).distinct(), "first_only": a.exceptAll(b)}
     out = None
     for name, p in parts.items():
@@ -252,33 +252,28 @@ def scope_scan(spark, sf_dir):
 
 
 def combined_scopes(spark, sf_dir):
-    t = _table(spark, sf_dir, "documents").select("source", "doc_id")
-    one, two = t.where("source = 'src1'"), t.where("source = 'src2'")
+    t = _table(spark, sf_dir, "documents")
+    one, two = (t.where(test).select("source", "doc_id") for test in ("lang = 'en'", "lang <> 'en'"))
     both = one.unionByName(two)
     return both.withColumn("load_ord", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long"))
 
 
 def intake_stream(spark, sf_dir):
-    """A stream over a folder of raw files made from events, taken in once; no SQL form."""
-    import json
+    """The events table as raw files, one for each user, taken in by a stream."""
     import tempfile
     import uuid
 
-    from ..sources.records import scan, write_bytes
+    from ..sources.records import scan
     from ..streaming.intake import stream_intake
 
     at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="eventlantern-")
     top = f"{at.rstrip('/')}/intake-{uuid.uuid4().hex}"
-    rows = _table(spark, sf_dir, "events").where("user_id < 3").select("user_id", "event_id", "event_type", "props").orderBy("user_id", "event_id").limit(300).collect()  # a demonstration of the source, not a table query
-    made: dict[int, list] = {}
-    for r in rows:
-        made.setdefault(r["user_id"], []).append({"category": r["event_type"], "utf8_payload": r["props"]})
-    for user, events in made.items():
-        write_bytes(spark, f"{top}/raw/offense_{user}_x.json", json.dumps({"events": events}).encode())
-    if not made:
-        return spark.range(0).select(F.lit("").alias("offense_id"), F.lit(0).cast("long").alias("event_index"))
-    stream_intake(spark, f"{top}/raw", f"{top}/records", f"{top}/checkpoint").awaitTermination()
-    return scan(spark, f"{top}/records").select("offense_id", "event_index")
+    events = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("category"), F.col("props").alias("utf8_payload"))))
+    raw = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("offense_id")).agg(F.to_json(F.struct(events.alias("events"))).alias("value"))
+    raw.repartition("offense_id").write.partitionBy("offense_id").text(f"{top}/raw")
+    stream_intake(spark, f"{top}/raw", f"{top}/records", f"{top}/checkpoint", {"category": ["e.category"], "k": ["p.k"]}).awaitTermination()
+    told = F.get(F.col("fields")["category"]["items"], F.lit(0))
+    return scan(spark, f"{top}/records").select("offense_id", "event_index", plain(told).alias("event_type"))
 
 
 QUERIES = {

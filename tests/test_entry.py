@@ -18,10 +18,6 @@ def test_query_equals_its_sql(spark, tiny, name):
     assert not ours and not theirs
 
 
-def test_stream_query(spark, tiny):
-    assert QUERIES["intake_stream"](spark, tiny).count() > 0
-
-
 def test_cli(spark, incidents, capsys):
     raw, rec = incidents
     for args, want in [
