@@ -220,7 +220,7 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
     asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     postings = docs.select("load_ord", "event_id", F.size("tokens").cast("double").alias("len"), F.explode("tokens").alias("term"))
     postings = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "load_ord", "event_id", "len").agg(F.count("*").cast("double").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    frequency = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).cast("double").alias("df"))  # reads tf, so both uses share one exchange
     weighed = postings.join(frequency, "term").withColumn("part", scoring.bm25_term(scoring.idf(float(n), F.col("df")), F.col("tf"), F.col("len"), float(mean or 0)))
     scores = asked.join(weighed, "term").groupBy("query_id", "load_ord", "event_id").agg(F.bround(F.sum("part"), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "load_ord"))
