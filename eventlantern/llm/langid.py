@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 TRAIN_DOCS = 4_000  # the fit reads at most so many labelled rows, smallest hash of doc_id first
-TRAIN_CHARS = 100_000  # of rows no longer than this
+TRAIN_CHARS = 20_000  # of rows no longer than this, so the sample stays within 80 million characters
 WORDS_PER_LANGUAGE = 50_000
 GRAMS_PER_ORDER = 20_000
 MAX_ORDER = 5

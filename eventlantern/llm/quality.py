@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 TRAIN_DOCS = 1_500  # the fit reads at most so many labelled documents of each quality, smallest hash first
-TRAIN_CHARS = 50_000  # of documents no longer than this
+TRAIN_CHARS = 20_000  # of documents no longer than this, so the sample stays within 60 million characters
 ROUNDS = 150
 LEAST_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
