@@ -56,12 +56,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_EDGES = 200_000
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b: long) as rows (node, root), root the smallest node.
 
     Alternating large-star and small-star: every round is two aggregations with map-side combine, each
     joined back on its key, so a hub's neighbours never meet in one task. Each round is written to the
-    shared folder. Nodes without an edge do not appear.
+    shared folder. Up to BROADCAST_EDGES edges the minima, at most two for each edge, are broadcast, so a
+    hub's edges stay where they are; beyond that they are joined by key. Nodes without an edge do not appear.
     """
     spark = edges.sparkSession
     e = (
@@ -72,13 +76,14 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     path = scratch(spark, name)
     e.write.parquet(path)
     e = spark.read.schema("u long, v long").parquet(path)
-    mark = None
+    mark, n = None, e.count()
     for _ in range(max_rounds):
+        near = F.broadcast if n <= BROADCAST_EDGES else lambda df: df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(near(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        joined = large.join(near(low2), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
         old, path = path, scratch(spark, name)
         small.where("u <> v").distinct().write.parquet(path)
@@ -87,5 +92,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         got = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == mark:
             break
-        mark = tuple(got)
+        mark, n = tuple(got), got[0]
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
