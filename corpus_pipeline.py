@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlantern.llm import decontaminate, langid, packing, secrets, simhash
+from eventlantern.llm import decontaminate, langid, nearcopies, packing, secrets
 from eventlantern.llm.common import remove, scratch, table
 from eventlantern.llm.queries import tokenizer_path
 
@@ -21,8 +21,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every SimHash class."""
-    return simhash.keep_one(docs)
+    """Keeps the smallest doc_id of every SimHash class, then of every class of near copies at Jaccard 0.8."""
+    return nearcopies.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
