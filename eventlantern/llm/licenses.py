@@ -1,7 +1,7 @@
 """License scanning: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. A template is found in a block if the block holds at least `threshold` of
-the template's distinct words. Words are ranked by how many documents hold them, rarest first. Of a
+A block is a line of a text, or as many consecutive words as the template has, over line ends, for wrapped
+notices. A template is found in a block if the block holds at least `threshold` of the template's distinct words. Words are ranked by how many documents hold them, rarest first. Of a
 template of n words that needs o matches, the n - o + 1 rarest are its prefix: a block without any of
 them cannot qualify. The blocks left are held against length and position bounds, then counted exactly.
 All in one projection over the texts with DataFrame functions, so there is no shuffle of blocks.
@@ -88,6 +88,38 @@ def block_matches(low: Column, templates, rank: dict[str, int], threshold: float
     return F.when(low.rlike(near), F.flatten(F.transform(held, judge))).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
 
 
+def window_matches(low: Column, w: Column, templates, rank: dict[str, int], threshold: float) -> Column:
+    """array<struct<label, score>>: for each template that a run of as many words of w as it has holds to the threshold, its best.
+
+    Only in texts of several lines that hold enough of the template's words at all, and only at runs with a word of its prefix.
+    """
+    order = sorted(rank, key=rank.get)
+    plan = []
+    for label, text in templates:
+        own = sorted({rank[x] for x in text.split()})
+        need = ceil(threshold * len(own) - 1e-9)
+        plan.append((label, [order[r] for r in own], [order[r] for r in own[: len(own) - need + 1]], need, len(text.split())))
+    opening = sorted({x for _, _, prefix, _, _ in plan for x in prefix})
+    near = rf"(?:^|{NOT_WORD})(?:{'|'.join(opening)})(?:{NOT_WORD}|$)"
+    wanted = F.array(*[F.struct(F.lit(label).alias("label"), strings(own).alias("own"), strings(prefix).alias("prefix"), F.lit(need).alias("need"), F.lit(n).alias("n")) for label, own, prefix, need, n in plan])
+
+    def best(t: Column) -> Column:
+        def around(i: Column) -> Column:
+            starts = F.sequence(F.greatest(i - t["n"] + 1, F.lit(0)), i)
+            return F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice(w, s + 1, t["n"]), t["own"]))))
+
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(t["prefix"], F.get(w, i)))
+        return F.struct(t["label"].alias("label"), F.array_max(F.transform(at, around)).alias("shared"), t["need"].alias("need"), F.size(t["own"]).alias("of"))
+
+    def scored(held: Column) -> Column:
+        fits = F.filter(wanted, lambda t: F.size(F.array_intersect(held, t["own"])) >= t["need"])
+        found = F.filter(F.transform(fits, best), lambda m: m["shared"] >= m["need"])
+        return F.transform(found, lambda m: F.struct(m["label"].alias("label"), (m["shared"] / m["of"]).alias("score")))
+
+    held = F.array(F.array_intersect(w, strings(order)))
+    return F.when((F.instr(low, "\n") > 0) & low.rlike(near), F.flatten(F.transform(held, scored))).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+
+
 def places(w: Column, phrase: str) -> Column:
     """Starts, in words, of every place where the words of the phrase stand consecutively."""
     parts = phrase.split()
@@ -117,7 +149,7 @@ def license_labels(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     w = F.col("words")
     starts = F.when(F.col("low").rlike(maybe), F.array(*[places(w, p) for p, _ in PHRASES]))
     rows = docs.select("doc_id", lowered(F.col("text")).alias("low")).select("doc_id", "low", words(F.col("low")).alias("words"))
-    rows = rows.select("doc_id", F.size(w).cast("long").alias("n_words"), starts.alias("starts"), block_matches(F.col("low"), templates, rank, threshold).alias("found"))
+    rows = rows.select("doc_id", F.size(w).cast("long").alias("n_words"), starts.alias("starts"), F.concat(block_matches(F.col("low"), templates, rank, threshold), window_matches(F.col("low"), w, templates, rank, threshold)).alias("found"))
     flat = F.coalesce(F.flatten("starts"), F.array().cast("array<int>"))
     base = F.coalesce(F.filter(F.array(*[F.when(F.size(F.get("starts", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull()), strings([]))
     labels = F.array_sort(F.array_distinct(F.concat(base, F.transform("found", lambda m: m["label"]))))
