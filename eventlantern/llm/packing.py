@@ -30,7 +30,8 @@ from .common import materialize, remove, scratch, small_batches
 LENGTH = 4096
 END_ID = 2
 CACHE_PIECES = 1_000_000
-MAX_QUEUES = 1024  # sources beyond this share queues by hash
+FEW_QUEUES = 1024  # up to this, plain loops and a literal map; beyond, arrays and a join, with the same result
+STATE_BYTES = 256 << 20
 BROADCAST_ROWS = 200_000
 
 # The normalisation and splitting of the tokenizer file, as its JSON states them.
@@ -172,7 +173,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _tokens(path: str, queues: int):
+def _tokens(path: str):
     def run(batches):
         from pyspark import TaskContext
 
@@ -209,21 +210,44 @@ def window_state(sizes: list[int], taken: int) -> list[int]:
     if not total:
         return [0] * len(sizes)
     got = [(2 * taken * t + total) // (2 * total) for t in sizes]
-    more = taken - sum(got)
-    if more > 0:
-        due = [_Due(2 * g + 1, t, k) for k, (g, t) in enumerate(zip(got, sizes, strict=True)) if g < t]
-        heapq.heapify(due)
-        for _ in range(more):
-            x = heapq.heappop(due)
-            got[x.k] += 1
-            if got[x.k] < x.t:
-                heapq.heappush(due, _Due(x.x + 2, x.t, x.k))
-    for _ in range(-more):
-        x = max((_Due(2 * g - 1, t, k) for k, (g, t) in enumerate(zip(got, sizes, strict=True)) if g))
-        got[x.k] -= 1
+    _settle(got, sizes, taken - sum(got), range(len(sizes)))
     return got
 
 
+def many_window_state(sizes: np.ndarray, taken: int) -> np.ndarray:
+    """window_state for many queues: only those that can be among the next or last due are compared one by one."""
+    total = int(sizes.sum())
+    taken = min(taken, total)
+    if 2 * taken * int(sizes.max()) + total < 1 << 63:
+        got = (2 * taken * sizes + total) // (2 * total)
+    else:
+        got = np.array([(2 * taken * t + total) // (2 * total) for t in sizes.tolist()], np.int64)
+    more = taken - int(got.sum())
+    if more:
+        at = np.flatnonzero(got < sizes if more > 0 else got > 0)
+        due = (2 * got[at] + (1 if more > 0 else -1)) / sizes[at] * (1 if more > 0 else -1)
+        if abs(more) < len(at):
+            cut = np.partition(due, abs(more) - 1)[abs(more) - 1]
+            at = at[due <= cut + 1e-12 * abs(cut)]
+        some = got[at].tolist()
+        _settle(some, sizes[at].tolist(), more, at.tolist())
+        got[at] = some
+    return got
+
+
+def _settle(got: list[int], sizes: list[int], more: int, names) -> None:
+    """Take the `more` tokens due next, or give back the last due; names break ties."""
+    ahead = more > 0
+    kind, step = (_Due, 2) if ahead else (_Late, -2)
+    due = [(kind(2 * g + step // 2, t, k), i) for i, (g, t, k) in enumerate(zip(got, sizes, names, strict=True)) if (g < t if ahead else g)]
+    heapq.heapify(due)
+    for _ in range(abs(more)):
+        x, i = heapq.heappop(due)
+        got[i] += step // 2
+        if got[i] < x.t if ahead else got[i]:
+            heapq.heappush(due, (kind(x.x + step, x.t, x.k), i))
+
+
 class _Due:
     """Twice the due time of a token, as a fraction compared exactly; ties by queue."""
 
@@ -240,19 +264,42 @@ class _Due:
         return other < self
 
 
+class _Late(_Due):
+    """The same in reverse order."""
+
+    __slots__ = ()
+
+    def __lt__(self, other) -> bool:
+        return _Due.__lt__(other, self)
+
+
 def _cut(sizes: list[int], length: int):
     total = sum(sizes)
+    many = np.array(sizes, np.int64) if len(sizes) > FEW_QUEUES else None
 
     def run(batches):
         states: dict[int, np.ndarray] = {}
+        begins: dict[int, np.ndarray] = {}
+        most = max(4, min(50_000, STATE_BYTES // (8 * max(1, len(sizes)))))
 
         def state(s: int) -> np.ndarray:
             if s not in states:
-                if len(states) > 50_000:
+                if len(states) > most:
                     states.clear()
-                states[s] = np.array(window_state(sizes, s * length), np.int64)
+                states[s] = np.array(window_state(sizes, s * length), np.int64) if many is None else many_window_state(many, s * length)
             return states[s]
 
+        def begin(s: int, k: int) -> int:
+            """Where queue k begins in window s."""
+            if many is None:
+                return int((state(s + 1)[:k] - state(s)[:k]).sum())
+            if s not in begins:
+                if len(begins) > most:
+                    begins.clear()
+                taken = state(s + 1) - state(s)
+                begins[s] = np.cumsum(taken) - taken
+            return int(begins[s][k])
+
         def window_of(k: int, x: int) -> int:
             """The window that holds token x of queue k."""
             s = x * total // (sizes[k] * length)
@@ -272,11 +319,11 @@ def _cut(sizes: list[int], length: int):
                     here, then = state(s), state(s + 1)
                     take = min(n - at, int(then[k]) - (x + at))
                     if take > 0:
-                        offset = int((then[:k] - here[:k]).sum()) + x + at - int(here[k])
+                        offset = begin(s, k) + x + at - int(here[k])
                         for col, v in zip(out, (d, at, take, zlib.crc32(ids[at : at + take].tobytes()), n, s, offset), strict=True):
                             col.append(v)
                         at += take
-                    s += 1
+                    s = s + 1 if many is None or at >= n else window_of(k, x + at)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
@@ -285,26 +332,27 @@ def _cut(sizes: list[int], length: int):
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of docs(doc_id, text, source).
 
-    Null and empty texts are one token, the end id. A null source is a queue of its own; more than
-    MAX_QUEUES sources share queues by hash. Every row, repeated or not, is a document of its own. All
+    Null and empty texts are one token, the end id. Every source is a queue of its own, at any number of
+    sources, and so is a null source. Every row, repeated or not, is a document of its own. All
     sequences are full but the last. An empty table gives no piece. Other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"))
-    if len(rows.select("queue").distinct().limit(MAX_QUEUES + 1).collect()) > MAX_QUEUES:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
     made = scratch(spark, "tokens")
-    rows.mapInArrow(_tokens(tokenizer_path, MAX_QUEUES), "doc_id long, queue string, part int, row long, start long, n long, ids binary").write.option("compression", "zstd").parquet(made)
+    rows.mapInArrow(_tokens(tokenizer_path), "doc_id long, queue string, part int, row long, start long, n long, ids binary").write.option("compression", "zstd").parquet(made)
     tokens = spark.read.parquet(made)
     filled = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ahead = materialize(filled.select("queue", "part", "n", F.coalesce(before, F.lit(0)).alias("before")), "queues")
-    sizes = {r[0]: r[1] for r in ahead.groupBy("queue").agg(F.sum("n")).collect()}  # at most MAX_QUEUES rows
+    sizes = {r[0]: r[1] for r in ahead.groupBy("queue").agg(F.sum("n")).collect()}  # a row for each source
     order = sorted(sizes)
-    index = F.create_map(*[x for k, q in enumerate(order) for x in (F.lit(q), F.lit(k))]) if order else F.create_map().cast("map<string,int>")
-    ahead = ahead.select("queue", "part", "before", index[F.col("queue")].alias("k"))
+    if len(order) > FEW_QUEUES:
+        ahead = ahead.join(spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "queue string, k int"), "queue").select("queue", "part", "before", "k")
+    else:
+        index = F.create_map(*[x for k, q in enumerate(order) for x in (F.lit(q), F.lit(k))]) if order else F.create_map().cast("map<string,int>")
+        ahead = ahead.select("queue", "part", "before", index[F.col("queue")].alias("k"))
     ahead = F.broadcast(ahead) if ahead.count() <= BROADCAST_ROWS else ahead
     placed = tokens.join(ahead, ["queue", "part"]).select("doc_id", "k", (F.col("start") + F.col("before")).alias("start"), "n", "ids")
     pieces = materialize(placed.mapInArrow(_cut([sizes[q] for q in order], length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "pieces")
