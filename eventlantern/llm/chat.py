@@ -75,7 +75,8 @@ def locate(render: Render, turns: list[Turn]) -> tuple[str, list[tuple[int, int]
 
     Rendering every prefix costs the square of the length. After WHOLE_TURNS turns, if every turn so far
     added the same as in the context of the two turns before it, later turns are rendered in that context;
-    the joined result must equal the rendering of the whole conversation, else all prefixes are rendered.
+    the joined result, from the first turn on, must equal the rendering of the whole conversation, else all
+    prefixes are rendered. A rewrite in a longer prefix that is undone by the end is not seen then.
     """
     final = render(turns)
 
@@ -85,7 +86,7 @@ def locate(render: Render, turns: list[Turn]) -> tuple[str, list[tuple[int, int]
         for k, turn in enumerate(turns):
             near = turns[max(0, k - 2) : k]
             if short and k >= WHOLE_TURNS:
-                if not same:
+                if not same or not final.startswith(last):
                     return None
                 old, new = render(near), render([*near, turn])
                 inner = _inner(render, near, turn, [], new)
