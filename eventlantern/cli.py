@@ -21,15 +21,13 @@ from .operators.search import search
 from .session import local_session
 from .sources.records import read_raw, scan, write_records
 
-MOST_ROWS = 1000  # printed of a result
-
 
 def plain(x):
-    """What json can write: rows, frames (their first MOST_ROWS rows) and dataclasses become lists and dicts."""
+    """What json can write: rows, frames (all their rows) and dataclasses become lists and dicts."""
     if isinstance(x, Row):
         return {k: plain(v) for k, v in x.asDict().items()}
     if isinstance(x, DataFrame):
-        return [plain(r) for r in x.limit(MOST_ROWS).collect()]
+        return [plain(r) for r in x.toLocalIterator()]
     if dataclasses.is_dataclass(x):
         return {f.name: plain(getattr(x, f.name)) for f in dataclasses.fields(x)}
     if isinstance(x, dict):
