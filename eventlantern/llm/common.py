@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Unset, a local master (tests) gets one of its own; a cluster is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.conf.get("eventlantern.scratch", None)
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="eventlantern-")
             spark.conf.set("eventlantern.scratch", at)
             spark.sparkContext.setCheckpointDir(at)
@@ -52,6 +54,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with underscores before it until no column of df has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,13 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, scratch
+from .common import free_name, materialize, remove, scratch
 
+SPAN = "struct<start:int,end:int,first:int,last:int,rule:string>"  # code points, then bytes
+LEDGER = f"blob string, scanned array<string>, spans array<{SPAN}>"
 SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
-LEDGER = f"blob string, scanned array<string>, spans {SPANS}"
+FOUND = "blob string, spans " + SPANS + ", pieces array<struct<first:int,size:int>>"
+BROADCAST_SPANS = 500_000  # findings up to this many spans are broadcast; beyond that the join is salted
+SALT = 16
 
 
 @dataclass(frozen=True)
@@ -52,34 +56,45 @@ def address(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of one rule: the pieces between the matches and the matches themselves add up to positions."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    told = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), told.alias("t")), lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m["w"]).alias("size"), F.length(m["t"]).alias("told")))
-    empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["size"]).alias("at"),
-            F.when(s["told"] >= rule.least, F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (a["at"] + s["gap"] + s["size"]).alias("end"))))).otherwise(a["out"]).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(rule.pattern), walked).otherwise(empty)
-
-
-def scan(text: Column, todo: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Spans of the rules whose keys are in `todo`, by start, then by the order of the rules."""
-    none = F.array().cast(SPANS)
-    found = [F.when(F.array_contains(todo, r.key), rule_spans(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
-    return F.array_sort(F.concat(*found))
+def matches(text: Column, todo: Column, rules: tuple[Rule, ...]) -> Column:
+    """array<struct<ord, pos, gap, size, gap_bytes, size_bytes, told>>: every match of the rules in `todo` and what stands before it."""
+    none = F.array().cast("array<struct<ord:int,pos:int,gap:int,size:int,gap_bytes:int,size_bytes:int,told:int>>")
+
+    def of(order: int, rule: Rule) -> Column:
+        pattern = F.lit(rule.pattern)
+        whole = F.regexp_extract_all(text, pattern, F.lit(0))
+        told = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+        pairs = F.arrays_zip(whole.alias("w"), told.alias("t"), F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)).alias("p"))
+        one = F.transform(pairs, lambda m, k: F.struct(
+            F.lit(order).alias("ord"), k.alias("pos"), F.length(m["p"]).alias("gap"), F.length(m["w"]).alias("size"),
+            F.octet_length(m["p"]).alias("gap_bytes"), F.octet_length(m["w"]).alias("size_bytes"), F.length(m["t"]).alias("told"),
+        ))
+        return F.when(F.array_contains(todo, rule.key) & text.rlike(rule.pattern), one).otherwise(none)
+
+    return F.concat(*[of(k, r) for k, r in enumerate(rules)])
+
+
+def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """LEDGER's columns of blobs(blob, text, todo): positions are running sums over the matches of a text.
+
+    Sums are taken by a window over single matches, so the cost is linear in their number. Rows lie by
+    blob already, so neither the window nor the gathering moves anything.
+    """
+    hits = blobs.select("blob", F.col("todo").alias("scanned"), F.explode_outer(matches(F.col("text"), F.col("todo"), rules)).alias("m"))
+    upto = Window.partitionBy("blob", "m.ord").orderBy("m.pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = hits.withColumn("end", F.sum(F.col("m.gap") + F.col("m.size")).over(upto).cast("int")).withColumn("last", F.sum(F.col("m.gap_bytes") + F.col("m.size_bytes")).over(upto).cast("int"))
+    keys, least = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.least) for r in rules])
+    span = F.struct((F.col("end") - F.col("m.size")).alias("start"), "end", (F.col("last") - F.col("m.size_bytes")).alias("first"), "last", F.get(keys, F.col("m.ord")).alias("rule"))
+    kept = F.when(F.col("m.told") >= F.get(least, F.col("m.ord")), span)
+    return hits.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.collect_list(kept).alias("spans"))
 
 
 class Ledger:
-    """An append-only Parquet table under `path`: one row for each blob and run that read it."""
+    """An append-only Parquet table under `path`: one row for each blob and run that read it.
+
+    A span carries the rule version that found it, so what a superseded version found is kept as history
+    and never reported.
+    """
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.path, self.rules = spark, path, rules
@@ -87,31 +102,57 @@ class Ledger:
     def rows(self) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.schema(LEDGER).parquet(self.path) if there else self.spark.sql("select 1 as x where false").select(F.lit("").alias("blob"), F.array().cast("array<string>").alias("scanned"), F.array().cast(SPANS).alias("spans"))
+        return self.spark.read.schema(LEDGER).parquet(self.path) if there else self.spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in LEDGER.split(", "))])
 
     def update(self, versions: DataFrame) -> None:
-        """Scan what is new in versions(text): distinct blobs first, then unseen rule versions only."""
+        """Scan what is new in versions(text): distinct blobs first, then unseen rule versions only.
+
+        Copies meet as one row for each map task, so a hot blob is no hot key. A blob that every current
+        rule version has read is dropped before any pattern looks at it.
+        """
         keys = F.array(*[F.lit(r.key) for r in self.rules])
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        texts = versions.select(address(text).alias("blob"), text.alias("text"))
-        seen = self.rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("scanned"))
-        if not self.rows().isEmpty():
-            done = seen.where(F.size(F.array_except(keys, F.col("scanned"))) == 0)
-            texts = texts.join(done, "blob", "left_anti")
-        blobs = texts.groupBy("blob").agg(F.any_value("text").alias("text"))
+        blobs = versions.select(address(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
+        seen = self.rows().select("blob", F.explode("scanned").alias("key")).groupBy("blob").agg(F.collect_set("key").alias("scanned"))
         todo = F.array_except(keys, F.coalesce("scanned", F.array().cast("array<string>")))
-        new = blobs.join(seen, "blob", "left").select("blob", "text", todo.alias("todo"))
-        new.select("blob", F.col("todo").alias("scanned"), scan(F.col("text"), F.col("todo"), self.rules).alias("spans")).write.mode("append").parquet(self.path)
-
-    def findings(self, versions: DataFrame, *keep: str) -> DataFrame:
-        """Columns `keep` of versions(text, ...) with the spans of the current rule versions."""
-        current = F.array(*[F.lit(r.kind) for r in self.rules])
-        live = F.arrays_overlap("scanned", F.array(*[F.lit(r.key) for r in self.rules]))
-        rows = self.rows().where(live).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        rows = rows.where(F.size("spans") > 0).withColumn("spans", F.filter("spans", lambda s: F.array_contains(current, s["kind"])))
+        new = blobs.join(seen, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
+        scan(new, self.rules).write.mode("append").parquet(self.path)
+
+    def found(self) -> DataFrame:
+        """FOUND's columns for each blob with a finding of the current rule versions.
+
+        spans are by start, then by the order of the rules. pieces are the stretches of bytes outside all
+        spans, one more than there are runs of overlapping spans; the last one's size reaches past any end.
+        """
+        keys, kinds = F.array(*[F.lit(r.key) for r in self.rules]), F.array(*[F.lit(r.kind) for r in self.rules])
+        one = self.rows().where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).select("blob", "s.*", F.array_position(keys, F.col("s.rule")).cast("int").alias("ord")).where("ord > 0")
+        one = one.dropDuplicates(["blob", "start", "ord"])
+        upto = Window.partitionBy("blob").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
+        reach = F.coalesce(F.max("last").over(upto), F.lit(0))
+        one = one.withColumn("reach", reach)
+        span = F.struct("start", (F.col("ord") - 1).alias("ord"), F.get(kinds, F.col("ord") - 1).alias("kind"), "end")
+        gap = F.when((F.col("first") >= F.col("reach")), F.struct(F.col("reach").alias("first"), (F.col("first") - F.col("reach")).alias("size")))
+        tail = F.array(F.struct(F.max("last").alias("first"), F.lit((1 << 31) - 1).alias("size")))
+        return one.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.concat(F.array_sort(F.collect_list(gap)), tail).alias("pieces"))
+
+    def findings(self, versions: DataFrame) -> DataFrame:
+        """versions(text, ...) with spans and pieces of their blob; both are null where nothing was found.
+
+        Only blobs with findings take part. Up to BROADCAST_SPANS spans they are broadcast, so copies stay where
+        they are; beyond that the rows of a blob are dealt over SALT keys.
+        """
+        names = {n: free_name(versions, n) for n in ("_blob", "_salt")}
+        found = materialize(self.found(), "secret-findings")
+        many = (found.agg(F.sum(F.size("spans"))).first()[0] or 0) > BROADCAST_SPANS
         blob = address(F.coalesce(F.col("text").cast("string"), F.lit("")))
-        paths = versions.select(*[versions[k] for k in keep], blob.alias("_blob"))
-        return paths.join(rows, paths._blob == rows.blob, "left").select(*keep, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+        paths = versions.withColumn(names["_blob"], blob)
+        held = found.select(F.col("blob").alias(names["_blob"]), F.struct("spans", "pieces").alias(free_name(versions, "_held")))
+        keys = [names["_blob"]]
+        if many:
+            keys.append(names["_salt"])
+            paths = paths.withColumn(names["_salt"], F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n, t in versions.dtypes if "<" not in t and t != "variant"]), F.lit(SALT)).cast("int"))
+            held = held.withColumn(names["_salt"], F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        return paths.join(held if many else F.broadcast(held), keys, "left").drop(*keys)
 
 
 def joined(spans: Column) -> Column:
@@ -122,49 +163,51 @@ def secret_digests(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs(doc_id, text).
 
     Null text counts as empty. Repeated rows and copies each come back, though their blob is read once.
-    An empty table gives an empty result. Columns other than doc_id and text are not looked at.
+    Very long texts cost what their length and their matches cost. An empty table gives an empty result.
+    Columns other than doc_id and text are not looked at. Without a ledger a new one is made, and removed.
     """
-    docs = docs.select("doc_id", "text")
+    docs, own_ledger = docs.select("doc_id", "text"), ledger is None
     ledger = ledger or Ledger(docs.sparkSession, scratch(docs.sparkSession, "secret-ledger"))
     ledger.update(docs)
     base = [r.kind for r in ledger.rules if r.base]
+    spans = F.coalesce(F.col("_held.spans"), F.array().cast(SPANS))
+    rows = ledger.findings(docs).select("doc_id", spans.alias("spans"))
+    if own_ledger:
+        forget(ledger)
     own = F.filter("spans", lambda s: s["kind"].isin(base))
 
     def of(kind: str):
         return F.filter("spans", lambda s: s["kind"] == kind)
 
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
-    return ledger.findings(docs, "doc_id").select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by `mark`."""
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, walked).otherwise(text)
+def redacted(text: Column, pieces: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every span, or run of overlapping spans, replaced by `mark`; bytes are cut where they lie."""
+    raw = text.cast("binary")
+    return F.array_join(F.transform(pieces, lambda p: F.substring(raw, p["first"] + 1, p["size"]).cast("string")), mark)
 
 
 def redact(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """docs with secrets in `text` replaced; `n_chars`, where there is one, follows the new text.
 
-    All rows stay. Blobs with findings are few and are joined by their address.
+    All rows and columns stay, whatever the columns are called. Null and empty texts stay as they are. An
+    empty table gives an empty result. Blobs with findings are few and are joined by their address.
     """
-    spark = docs.sparkSession
+    spark, own_ledger = docs.sparkSession, ledger is None
     ledger = ledger or Ledger(spark, scratch(spark, "secret-ledger"))
-    ledger.update(docs)
+    ledger.update(docs.select("text"))
     names = docs.columns
-    found = ledger.findings(docs, *names)
-    text = redacted(F.col("text"), F.col("spans"))
-    cols = {"text": text} | ({"n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-    return found.select(*[cols.get(n, F.col(n)).alias(n) for n in names])
+    found = ledger.findings(docs)
+    if own_ledger:
+        forget(ledger)
+    pieces = F.col(free_name(docs, "_held"))["pieces"]
+    text = F.when(pieces.isNotNull(), redacted(F.col("text"), pieces)).otherwise(F.col("text"))
+    cols = {"text": text} | ({"n_chars": F.when(pieces.isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
+    return found.select(*[cols.get(n, F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def forget(ledger: Ledger) -> None:
+    """Remove the ledger's folder."""
     remove(ledger.spark, ledger.path)
