@@ -3,8 +3,11 @@
 Each line with a word is described by a few numbers. The chain scores labels by those numbers and by
 neighbouring pairs of labels; Viterbi decoding finds the best sequence. The share of characters on
 content lines decides whether a document stays. Weights are fitted by gradient ascent on the exact
-likelihood (forward and backward sums). Lines carry no labels of their own, so a line's training label
-is the quality label of its document.
+likelihood (forward and backward sums).
+
+Labels are of documents, and a chain that only sees whole documents of one label learns never to switch.
+So the fit also reads spliced sequences: runs of lines from good and from bad documents in turn, each
+with its own label. They teach the chain where content begins and ends, and that both stand together.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TRAIN_DOCS = 1_500  # the fit reads at most so many labelled documents of each quality, smallest hash first
-TRAIN_CHARS = 20_000  # of documents no longer than this, so the sample stays within 60 million characters
+TRAIN_TEXTS = 1_500  # the fit reads at most so many different labelled texts of each quality, of any length, smallest hash first
+SEGMENT_LINES = 64  # a text is read as segments of so many lines
+TRAIN_SEGMENTS = 4_000  # of which at most so many of each quality are kept, smallest hash first
+RUN_LINES = 6  # mean length of a run in a spliced sequence
 ROUNDS = 150
 LEAST_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -82,13 +87,31 @@ class Chain:
         return np.array(out[::-1], np.int64)
 
 
-def fit_chain(documents: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, rate: float = 0.5, decay: float = 1e-3) -> Chain:
-    """Maximum likelihood by gradient ascent; documents are (line features, label of every line).
+def spliced(good: list[np.ndarray], bad: list[np.ndarray], run_lines: int = RUN_LINES, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of runs from a good and a bad segment in turn, with a label for each line; the same for the same segments."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(max(len(good), len(bad)) if good and bad else 0):
+        pair = (bad[k % len(bad)], good[k % len(good)])
+        at, turn, rows, labels = [0, 0], int(rng.integers(2)), [], []
+        while at[0] < len(pair[0]) or at[1] < len(pair[1]):
+            n = int(rng.geometric(1 / run_lines))
+            part = pair[turn][at[turn] : at[turn] + n]
+            at[turn] += n
+            rows.append(part)
+            labels.append(np.full(len(part), turn))
+            turn = 1 - turn
+        out.append((np.concatenate(rows), np.concatenate(labels)))
+    return out
+
+
+def fit_chain(documents: list[tuple[np.ndarray, int | np.ndarray]], rounds: int = ROUNDS, rate: float = 0.5, decay: float = 1e-3) -> Chain:
+    """Maximum likelihood by gradient ascent; documents are (line features, one label for all lines or one for each).
 
-    Documents of equal length are run through the chain together, padded to the longest of their group.
+    Documents of about equal length are run through the chain together, padded to the longest of their group.
     """
-    documents = [d for d in documents if len(d[0])]
-    if len({y for _, y in documents}) < 2:
+    documents = [(x, np.broadcast_to(y, len(x))) for x, y in documents if len(x)]
+    if len({int(k) for _, y in documents for k in np.unique(y)}) < 2:
         return Chain.neutral()
     unary, pair = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     order = sorted(documents, key=lambda d: len(d[0]))
@@ -97,9 +120,10 @@ def fit_chain(documents: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, rat
         part = order[at : at + 256]
         x = np.zeros((len(part), len(part[-1][0]), FEATURES))
         mask = np.zeros(x.shape[:2], bool)
-        for i, (f, _) in enumerate(part):
-            x[i, : len(f)], mask[i, : len(f)] = f, True
-        groups.append((x, mask, np.array([y for _, y in part])))
+        gold = np.zeros(mask.shape, np.int64)
+        for i, (f, y) in enumerate(part):
+            x[i, : len(f)], mask[i, : len(f)], gold[i, : len(f)] = f, True, y
+        groups.append((x, mask, gold))
     total = sum(len(f) for f, _ in documents)
     for _ in range(rounds):
         gu, gp = np.zeros_like(unary), np.zeros_like(pair)
@@ -117,12 +141,12 @@ def fit_chain(documents: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, rat
                 bwd[:, t] = np.where(mask[:, t + 1, None], step, 0)
             z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
             prob = np.exp(fwd + bwd - z[:, None, None]) * mask[..., None]
-            gold = np.eye(2)[y][:, None, :] * mask[..., None]
+            gold = np.eye(2)[y] * mask[..., None]
             gu += np.einsum("dtf,dtk->fk", x, gold - prob)
             if n > 1:
                 both = np.exp(np.clip(fwd[:, :-1, :, None] + pair + (s + bwd)[:, 1:, None, :] - z[:, None, None, None], -700, 0)) * mask[:, 1:, None, None]
                 gp -= both.sum(axis=(0, 1))
-                np.add.at(gp, (y, y), mask[:, 1:].sum(axis=1))
+                np.add.at(gp, (y[:, :-1], y[:, 1:]), mask[:, 1:])
         unary += rate * (8 * gu / total - decay * unary)
         pair += rate * (8 * gp / total - decay * pair)
     return Chain(unary, pair)
@@ -186,29 +210,59 @@ def judge(text: str | None, chain: Chain, least_share: float = LEAST_SHARE):
     return *base, failed, not failed and share >= least_share, share
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Chain:
-    """Fit on a bounded sample of docs(doc_id, text) with labels(doc_id, quality)."""
+def _segments(batches):
+    """Features of the lines of labelled texts, cut into segments; the text's hash and the segment's place give its rank."""
+    for b in batches:
+        rows = []
+        for quality, h, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            x = line_features(*lines_of(text))
+            rows += [(quality, h ^ (at * 0x9E3779B9), x[at : at + SEGMENT_LINES].tobytes()) for at in range(0, len(x), SEGMENT_LINES)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["quality", "h", "x"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
+    """(quality, h, text): at most `train_texts` different texts of each quality, of any length.
+
+    A document with two labels counts as bad. Row numbers that are cut at a limit are cut in every map task first.
+    """
     told = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    picked = [told.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for q in (0, 1)]
+    picked = [told.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_texts) for q in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    rows = docs.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id").select("text", "quality", "doc_id").collect()
-    rows.sort(key=lambda r: (r[2], r[0]))
-    return fit_chain([(line_features(*lines_of(r[0])), r[1]) for r in rows])
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("quality", F.xxhash64("doc_id", "text").alias("h"), "text")
+    nth = F.row_number().over(Window.partitionBy("quality").orderBy("h"))
+    return rows.dropDuplicates(["quality", "h"]).withColumn("nth", nth).where(F.col("nth") <= train_texts).select("quality", "h", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS, train_segments: int = TRAIN_SEGMENTS) -> Chain:
+    """Fit on a bounded sample of docs(doc_id, text) with labels(doc_id, quality).
+
+    Texts stay on the executors; the driver gets at most 2 * train_segments segments of SEGMENT_LINES lines in numbers.
+    """
+    found = sample(docs, labels, train_texts).mapInArrow(_segments, "quality int, h long, x binary")
+    nth = F.row_number().over(Window.partitionBy("quality").orderBy("h", "x"))
+    rows = found.withColumn("nth", nth).where(F.col("nth") <= train_segments).orderBy("quality", "nth").select("quality", "x").collect()
+    parts: list[list[np.ndarray]] = [[], []]
+    for quality, x in rows:
+        parts[quality].append(np.frombuffer(x).reshape(-1, FEATURES))
+    return fit_chain([(x, q) for q in (0, 1) for x in parts[q]] + spliced(parts[1], parts[0]))
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, least_share: float = LEAST_SHARE, train_texts: int = TRAIN_TEXTS, chain: Chain | None = None) -> DataFrame:
     """SCHEMA's columns for every row of docs(doc_id, text).
 
     Null or empty text has no word and fails. Without labels of both kinds every line counts as content.
+    Equal scores of a path prefer content. Texts are read whole, however long: a task holds one text and
+    its lines at a time. The chain is fitted on a sample of `train_texts` texts of each quality, or given.
     Repeated rows each come back; an empty table gives an empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(fit(docs, labels))
+    shared = spark.sparkContext.broadcast(chain or fit(docs, labels, train_texts))
 
     def run(batches):
         chain = shared.value
