@@ -3,6 +3,10 @@
 A word seen in training is scored by its log frequency in each language. An unseen word falls back to
 its character n-grams, longest order first: the first order of which any n-gram was seen decides, by
 the mean log frequency of those n-grams. A text's language is the one with the largest sum.
+
+The model is fitted on a bounded sample, the same number of texts for every language, chosen by hash over
+all of the training fold. Their words are counted where they lie; the driver gets the counts of the most
+frequent words only.
 """
 
 from __future__ import annotations
@@ -13,13 +17,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
-TRAIN_DOCS = 4_000  # the fit reads at most so many labelled rows, smallest hash of doc_id first
-TRAIN_CHARS = 20_000  # of rows no longer than this, so the sample stays within 80 million characters
+TRAIN_TEXTS = 1_000  # the fit reads at most so many different texts of each language, of any length, smallest hash first
 WORDS_PER_LANGUAGE = 50_000
 GRAMS_PER_ORDER = 20_000
 MAX_ORDER = 5
@@ -30,7 +33,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, lower case. The pattern also takes numbers that are not digits; they part words."""
+    found = _LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -88,10 +95,15 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
-    """Fit on (lang, text) rows. Languages are in alphabetical order, so ties have one outcome."""
+    """Fit on (lang, text) rows."""
     counts: dict[str, Counter] = defaultdict(Counter)
     for lang, text in rows:
         counts[lang].update(words_of(text))
+    return build(counts)
+
+
+def build(counts: dict[str, Counter]) -> Model:
+    """A model of counted words by language. Languages are in alphabetical order, so ties have one outcome."""
     langs = sorted(k for k, v in counts.items() if v)
 
     def logs(table: dict[str, Counter], most: int) -> dict[str, tuple]:
@@ -113,12 +125,36 @@ def train(rows: list[tuple[str, str]]) -> Model:
     return Model(langs, logs(counts, WORDS_PER_LANGUAGE), grams)
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on a bounded sample of docs(doc_id, text, lang) outside the held-out fold."""
-    usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).where(F.length("text") <= TRAIN_CHARS)
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text").collect()
-    return train([(r[0], r[1]) for r in rows])
+def sample(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
+    """(lang, text): at most `train_texts` different texts of each language outside the held-out fold.
+
+    Texts are ranked by hash of doc_id and text without moving them; a row number that is cut at a limit
+    is cut in every map task first, so a hot language does not meet in one. Copies of a row count once.
+    """
+    usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = usable.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= train_texts).select("lang", "h")
+    return usable.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def _counted(batches):
+    for b in batches:
+        counts: Counter = Counter()
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            counts.update((lang, w) for w in words_of(text))
+        rows = list(counts.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["lang", "word", "n"])
+
+
+def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
+    """Fit on the sample of docs(doc_id, text, lang). The driver gets at most WORDS_PER_LANGUAGE counts for each language."""
+    counted = sample(docs, train_texts).mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for lang, word, n in counted.withColumn("nth", nth).where(F.col("nth") <= WORDS_PER_LANGUAGE).select("lang", "word", "n").collect():
+        counts[lang][word] = n
+    return build(counts)
 
 
 def held_out():
@@ -138,30 +174,42 @@ def _scorer(shared):
     return run
 
 
-def language_ids(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def language_ids(docs: DataFrame, model: Model | None = None, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs(doc_id, text, lang).
 
     Null text, or text without a letter: `und`, score 0. With no usable training row every text is
-    `und`. A null doc_id counts as the empty id. Repeated rows each come back. Only doc_id, text and
-    lang are read; lang only for the fit.
+    `und`. A null doc_id counts as the empty id. Texts are read whole, however long. Equal scores go to the
+    first language by name. Repeated rows each come back; an empty table gives an empty result. Only
+    doc_id, text and lang are read; lang only for the fit.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model or fit(docs))
+    shared = spark.sparkContext.broadcast(model or fit(docs, train_texts))
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of docs with a recognised language: not `und`, and posterior of at least `least`."""
+def keep_known(docs: DataFrame, least: float = 0.5, train_texts: int = TRAIN_TEXTS) -> DataFrame:
+    """Rows of docs with a recognised language: not `und`, and posterior of at least `least`.
+
+    Null texts and texts without a letter go. Columns stay as they are, whatever they are called. An empty
+    table gives an empty result. If texts are there but none can train a model (no lang, or no doc_id),
+    nothing can be recognised or rejected by it: that is an error, not an empty corpus.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(fit(docs))
+    model = fit(docs, train_texts)
+    if not model.langs and not docs.where(F.col("text").rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no text with a language and a doc_id to learn from; nothing was rejected")
+    shared = spark.sparkContext.broadcast(model)
+    at = free_name(docs, "_text")
+    rows = docs.withColumn(at, F.col("text").cast("string"))
 
     def run(batches):
         model = shared.value
         for b in batches:
-            found = [model.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield b.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found]))
+            found = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            known = pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1])
+            yield known.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
