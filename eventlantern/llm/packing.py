@@ -2,14 +2,16 @@
 
 Every source is a queue of tokens: its documents one after the other. A window of `length` tokens takes
 from each queue its target share. What a queue is owed beyond whole tokens is its deficit; it carries
-over to the next window, and the queue with the most urgent next token is served first. The default
-target is each source's share of all tokens, which lets every queue last to the final window, so only
-that window is not full.
+over to the next window, and the queue with the most urgent next token is served first. Targets are
+proportions given by source. A queue that runs dry leaves its place to the others, in proportion to
+their targets. Without targets a source's target is its share of all tokens, which lets every queue last
+to the final window. Either way only the final window is not full.
 
-Serving by urgency has a closed form: token x of a queue with t tokens is due at (x + 1/2) / t, and the
+Serving by urgency has a closed form: token x of a queue with weight w is due at (x + 1/2) / w, and the
 first `length * s` tokens in order of due time (ties: by queue) lie before window s. So a task finds
-the state at any window on its own from the queue sizes, and partitions carry deficits over without a
-sequential pass. Tokens are made once, written as two-byte ids, and cut where they lie: no shuffle.
+the state at any window on its own from the queues' sizes and weights, and partitions carry deficits
+over without a sequential pass. Tokens are made once, written as two-byte ids, and cut where they lie:
+no shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ END_ID = 2
 CACHE_PIECES = 1_000_000
 FEW_QUEUES = 1024  # up to this, plain loops and a literal map; beyond, arrays and a join, with the same result
 STATE_BYTES = 256 << 20
+SHARE_UNITS = 10**9  # targets are read to so many parts of the whole
 BROADCAST_ROWS = 200_000
 
 # The normalisation and splitting of the tokenizer file, as its JSON states them.
@@ -200,51 +203,67 @@ def _tokens(path: str):
     return run
 
 
-def window_state(sizes: list[int], taken: int) -> list[int]:
+def time_of(sizes, weights, taken: int) -> tuple[int, int]:
+    """The due time (a fraction) by which about `taken` tokens are due: queues that are dry by then count whole."""
+    left, active = taken, sum(map(int, weights))
+    if sizes is weights:
+        return left, active
+    for k in sorted(range(len(sizes)), key=lambda k: int(sizes[k]) / int(weights[k])):
+        if int(sizes[k]) * active > left * int(weights[k]):
+            break
+        left -= int(sizes[k])
+        active -= int(weights[k])
+    return (left, active) if active else (max(int(n) // int(w) + 1 for n, w in zip(sizes, weights, strict=True)), 1)
+
+
+def window_state(sizes: list[int], taken: int, weights: list[int] | None = None) -> list[int]:
     """How many tokens of each queue are among the first `taken` in order of due time.
 
-    Those due by the time `taken / total` are a first guess; then the last due go or the next due come.
+    Those due by the time at which about `taken` are due are a first guess; then the last due go or the
+    next due come. Weights are positive whole numbers; without them a queue's weight is its size.
     """
-    total = sum(sizes)
-    taken = min(taken, total)
-    if not total:
+    weights = sizes if weights is None else weights
+    taken = min(taken, sum(sizes))
+    if not sum(sizes):
         return [0] * len(sizes)
-    got = [(2 * taken * t + total) // (2 * total) for t in sizes]
-    _settle(got, sizes, taken - sum(got), range(len(sizes)))
+    at, of = time_of(sizes, weights, taken)
+    got = [min(t, (2 * at * w + of) // (2 * of)) for t, w in zip(sizes, weights, strict=True)]
+    _settle(got, sizes, weights, taken - sum(got), range(len(sizes)))
     return got
 
 
-def many_window_state(sizes: np.ndarray, taken: int) -> np.ndarray:
+def many_window_state(sizes: np.ndarray, taken: int, weights: np.ndarray | None = None) -> np.ndarray:
     """window_state for many queues: only those that can be among the next or last due are compared one by one."""
-    total = int(sizes.sum())
-    taken = min(taken, total)
-    if 2 * taken * int(sizes.max()) + total < 1 << 63:
-        got = (2 * taken * sizes + total) // (2 * total)
+    weights = sizes if weights is None else weights
+    taken = min(taken, int(sizes.sum()))
+    at, of = time_of(sizes, weights, taken)
+    if 2 * at * int(weights.max()) + of < 1 << 63:
+        got = np.minimum(sizes, (2 * at * weights + of) // (2 * of))
     else:
-        got = np.array([(2 * taken * t + total) // (2 * total) for t in sizes.tolist()], np.int64)
+        got = np.array([min(t, (2 * at * w + of) // (2 * of)) for t, w in zip(sizes.tolist(), weights.tolist(), strict=True)], np.int64)
     more = taken - int(got.sum())
     if more:
         at = np.flatnonzero(got < sizes if more > 0 else got > 0)
-        due = (2 * got[at] + (1 if more > 0 else -1)) / sizes[at] * (1 if more > 0 else -1)
+        due = (2 * got[at] + (1 if more > 0 else -1)) / weights[at] * (1 if more > 0 else -1)
         if abs(more) < len(at):
             cut = np.partition(due, abs(more) - 1)[abs(more) - 1]
             at = at[due <= cut + 1e-12 * abs(cut)]
         some = got[at].tolist()
-        _settle(some, sizes[at].tolist(), more, at.tolist())
+        _settle(some, sizes[at].tolist(), weights[at].tolist(), more, at.tolist())
         got[at] = some
     return got
 
 
-def _settle(got: list[int], sizes: list[int], more: int, names) -> None:
+def _settle(got: list[int], sizes: list[int], weights: list[int], more: int, names) -> None:
     """Take the `more` tokens due next, or give back the last due; names break ties."""
     ahead = more > 0
     kind, step = (_Due, 2) if ahead else (_Late, -2)
-    due = [(kind(2 * g + step // 2, t, k), i) for i, (g, t, k) in enumerate(zip(got, sizes, names, strict=True)) if (g < t if ahead else g)]
+    due = [(kind(2 * g + step // 2, w, k), i) for i, (g, t, w, k) in enumerate(zip(got, sizes, weights, names, strict=True)) if (g < t if ahead else g)]
     heapq.heapify(due)
     for _ in range(abs(more)):
         x, i = heapq.heappop(due)
         got[i] += step // 2
-        if got[i] < x.t if ahead else got[i]:
+        if got[i] < sizes[i] if ahead else got[i]:
             heapq.heappush(due, (kind(x.x + step, x.t, x.k), i))
 
 
@@ -273,9 +292,16 @@ class _Late(_Due):
         return _Due.__lt__(other, self)
 
 
-def _cut(sizes: list[int], length: int):
-    total = sum(sizes)
+def _cut(sizes: list[int], length: int, weights: list[int] | None = None):
+    total, natural = sum(sizes), weights is None
     many = np.array(sizes, np.int64) if len(sizes) > FEW_QUEUES else None
+    many_weights = many if natural or many is None else np.array(weights, np.int64)
+
+    def before(k: int, x: int) -> int:
+        """About how many tokens are due before token x of queue k."""
+        if natural:
+            return x * total // sizes[k]
+        return sum(min(t, int((x + 0.5) * w / weights[k] + 0.5)) for t, w in zip(sizes, weights, strict=True))
 
     def run(batches):
         states: dict[int, np.ndarray] = {}
@@ -286,7 +312,7 @@ def _cut(sizes: list[int], length: int):
             if s not in states:
                 if len(states) > most:
                     states.clear()
-                states[s] = np.array(window_state(sizes, s * length), np.int64) if many is None else many_window_state(many, s * length)
+                states[s] = np.array(window_state(sizes, s * length, weights), np.int64) if many is None else many_window_state(many, s * length, many_weights)
             return states[s]
 
         def begin(s: int, k: int) -> int:
@@ -302,7 +328,7 @@ def _cut(sizes: list[int], length: int):
 
         def window_of(k: int, x: int) -> int:
             """The window that holds token x of queue k."""
-            s = x * total // (sizes[k] * length)
+            s = before(k, x) // length
             while state(s)[k] > x:
                 s -= 1
             while state(s + 1)[k] <= x:
@@ -329,12 +355,35 @@ def _cut(sizes: list[int], length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
+def queue_weights(sizes: dict[str, int], targets: dict[str | None, float]) -> dict[str, int]:
+    """Whole weights of the queues for target proportions by source; sources without one share what is left by size."""
+    if any(not 0 < v <= 1 for v in targets.values()) or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("targets are proportions over 0 that add up to 1 at most")
+    told = {_queue_of(s): v for s, v in targets.items()}
+    others = {q: n for q, n in sizes.items() if q not in told}
+    left = 1 - sum(told.values())
+    if others and left * SHARE_UNITS < 1:
+        raise ValueError(f"no share is left for {len(others)} sources without a target")
+    total = sum(others.values())
+    shares = {q: told[q] if q in told else left * others[q] / total for q in sizes}
+    return {q: max(1, round(v * SHARE_UNITS)) for q, v in shares.items()}
+
+
+def _queue_of(source: str | None) -> str:
+    return "" if source is None else f"={source}"
+
+
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of docs(doc_id, text, source).
 
     Null and empty texts are one token, the end id. Every source is a queue of its own, at any number of
     sources, and so is a null source. Every row, repeated or not, is a document of its own. All
     sequences are full but the last. An empty table gives no piece. Other columns are not looked at.
+
+    targets: source -> its proportion of the tokens of a window. Sources that are not named share what the
+    named ones leave, by size. While no queue is dry a queue is within a few tokens of its target at every
+    window; once one is, the others fill its place in proportion to their targets. Every token is packed.
+    A document of any length is cut by windows; a task holds one batch of texts and their ids.
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
@@ -355,6 +404,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
         ahead = ahead.select("queue", "part", "before", index[F.col("queue")].alias("k"))
     ahead = F.broadcast(ahead) if ahead.count() <= BROADCAST_ROWS else ahead
     placed = tokens.join(ahead, ["queue", "part"]).select("doc_id", "k", (F.col("start") + F.col("before")).alias("start"), "n", "ids")
-    pieces = materialize(placed.mapInArrow(_cut([sizes[q] for q in order], length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "pieces")
+    weights = queue_weights(sizes, targets) if targets else None
+    cut = _cut([sizes[q] for q in order], length, [weights[q] for q in order] if weights else None)
+    pieces = materialize(placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "pieces")
     remove(spark, made)
     return pieces
