@@ -24,7 +24,7 @@ Render = Callable[[list[Turn]], str]
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTROL = (OPEN, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 PROBE = ""
-WHOLE_TURNS = 64  # so many prefixes are rendered whole before shorter contexts may stand for them
+WHOLE_TURNS = 64  # of the built-in template so many prefixes are rendered whole before shorter contexts may stand for them
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _MARK = re.compile(r"\\(\\)?")
@@ -70,14 +70,17 @@ def _inner(render: Render, before: list[Turn], turn: Turn, after: list[Turn], ou
     return None
 
 
-def locate(render: Render, turns: list[Turn]) -> tuple[str, list[tuple[int, int] | None], list[int]]:
+def locate(render: Render, turns: list[Turn], whole_turns: int | None = WHOLE_TURNS) -> tuple[str, list[tuple[int, int] | None], list[int]]:
     """(output, span of each turn's text in it or None, numbers of turns that rewrote what stood before).
 
-    Rendering every prefix costs the square of the length. After WHOLE_TURNS turns, if every turn so far
-    added the same as in the context of the two turns before it, later turns are rendered in that context;
-    the joined result, from the first turn on, must equal the rendering of the whole conversation, else all
-    prefixes are rendered. A rewrite in a longer prefix that is undone by the end is not seen then.
+    Rendering every prefix costs the square of the length. With whole_turns None every prefix is rendered,
+    so every rewrite is found. With a number, after so many turns, if every turn so far added the same as in
+    the context of the two turns before it, later turns are rendered in that context; the joined result,
+    from the first turn on, must equal the rendering of the whole conversation, else all prefixes are
+    rendered. That suits templates that treat a turn alike wherever it stands, as the built-in one does: a
+    rewrite in a longer prefix that is undone by the end is not seen then.
     """
+    whole_turns = len(turns) if whole_turns is None else whole_turns
     final = render(turns)
 
     def walk(short: bool):
@@ -85,7 +88,7 @@ def locate(render: Render, turns: list[Turn]) -> tuple[str, list[tuple[int, int]
         last, at, same = render([]), len(render([])), True
         for k, turn in enumerate(turns):
             near = turns[max(0, k - 2) : k]
-            if short and k >= WHOLE_TURNS:
+            if short and k >= whole_turns:
                 if not same or not final.startswith(last):
                     return None
                 old, new = render(near), render([*near, turn])
@@ -109,7 +112,7 @@ def locate(render: Render, turns: list[Turn]) -> tuple[str, list[tuple[int, int]
             return None
         return spans, rewrote
 
-    found = walk(len(turns) > WHOLE_TURNS)
+    found = walk(len(turns) > whole_turns)
     if found is None:
         found = walk(False)
     spans, rewrote = found
@@ -121,14 +124,19 @@ def locate(render: Render, turns: list[Turn]) -> tuple[str, list[tuple[int, int]
 FORMATTED = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>, rewrites int"
 
 
-def format_conversations(conversations: DataFrame, render: Render = render_marked) -> DataFrame:
+def format_conversations(conversations: DataFrame, render: Render = render_marked, every_prefix: bool | None = None) -> DataFrame:
     """FORMATTED's columns, one row for each conv_id of conversations(conv_id, turn, role, text).
 
     Rows are ordered by turn, then role and text; a null turn comes first. Null role and text are empty.
     Rows with a null conv_id are one conversation. loss_spans are the assistant texts, in code points of
     the output. rewrites counts the turns that changed earlier output. Rows arrive sorted, so a task holds
-    one conversation at a time. Other columns are not looked at.
+    one conversation at a time, however long. Tied rows are in order of role and text, repeated ones are
+    turns of their own. An empty table gives an empty result. Other columns are not looked at.
+
+    every_prefix: whether every prefix is rendered whole (see locate). By default that is so for every
+    template but the built-in one, whose turns are formatted alike wherever they stand.
     """
+    whole_turns = None if (render is not render_marked if every_prefix is None else every_prefix) else WHOLE_TURNS
     small_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -138,7 +146,7 @@ def format_conversations(conversations: DataFrame, render: Render = render_marke
 
     def run(batches):
         def made(key, turns):
-            out, spans, rewrote = locate(render, turns)
+            out, spans, rewrote = locate(render, turns, whole_turns)
             loss = [{"start": s[0], "end": s[1]} for s, t in zip(spans, turns, strict=True) if t[0] == "assistant" and s is not None]
             return key, out, loss, len(rewrote)
 
