@@ -1,17 +1,19 @@
 """License scanning: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, or as many consecutive words as the template has, over line ends, for wrapped
-notices. A template is found in a block if the block holds at least `threshold` of the template's distinct words. Words are ranked by how many documents hold them, rarest first. Of a
+A block is a line of at most LINE_WORDS words, or as many consecutive words as the template has, wherever
+they stand, over line ends too. A template is found in a block if the block holds at least `threshold` of
+the template's distinct words. Words are ranked by how many documents hold them, rarest first. Of a
 template of n words that needs o matches, the n - o + 1 rarest are its prefix: a block without any of
-them cannot qualify. The blocks left are held against length and position bounds, then counted exactly.
-All in one projection over the texts with DataFrame functions, so there is no shuffle of blocks.
+them cannot qualify. So the prefixes make an inverted index, a row for each word and template, and the
+places of texts where such a word stands are joined with it by that word. Pairs are held against the
+bounds of length and position, then counted exactly.
 """
 
 from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -33,8 +35,20 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl", "subject to the terms of the mozilla public license"),
     ("reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+     "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+     "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above "
+     "copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+     "in the documentation and or other materials provided with the distribution"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 )
 THRESHOLD = 0.9
+LINE_WORDS = 64  # a longer line is read by its windows alone
+BROADCAST_ROWS = 100_000  # of the index; one that is larger is joined by a shuffle
 
 
 def lowered(text: Column) -> Column:
@@ -56,68 +70,73 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, in
     return {r[0]: r[1] for r in docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()}
 
 
-def block_matches(low: Column, templates, rank: dict[str, int], threshold: float) -> Column:
-    """array<struct<label, score>>: for each qualifying pair of a line and a template, label and containment."""
-    order = sorted(rank, key=rank.get)
-    plan = []
+INDEX = "token string, label string, own array<string>, need int, n int, place int, aligned int"
+
+
+def prefix_index(spark: SparkSession, templates, rank: dict[str, int], threshold: float) -> tuple[DataFrame, dict[str, int]]:
+    """(INDEX's columns, the longest template of each prefix word): a row for each template and word of its prefix.
+
+    own: the template's distinct words, rarest first. need: how many a block must hold. n: its words in
+    all. place: where the word stands in own. aligned: where it stands first in the template.
+    """
+    rows, longest = [], {}
     for label, text in templates:
-        own = sorted({rank[w] for w in text.split()})
+        w = text.split()
+        own = sorted(set(w), key=rank.get)
         need = ceil(threshold * len(own) - 1e-9)
-        plan.append((label, own, own[: len(own) - need + 1], need))
-    opening = sorted({order[r] for _, _, prefix, _ in plan for r in prefix})
-    near = rf"(?:^|{NOT_WORD})(?:{'|'.join(opening)})(?:{NOT_WORD}|$)"
-    lines = F.filter(F.split(low, "\n"), lambda x: x.rlike(near))
-    ranks = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
-    held = F.transform(lines, lambda x: F.array_sort(F.transform(F.array_intersect(words(x), strings(order)), lambda w: ranks[w])))
+        for k, token in enumerate(own[: len(own) - need + 1]):
+            rows.append(F.struct(F.lit(token), F.lit(label), strings(own), F.lit(need), F.lit(len(w)), F.lit(k), F.lit(w.index(token))))
+            longest[token] = max(longest.get(token, 0), len(w))
+    names = [c.split()[0] for c in INDEX.split(", ")]
+    index = spark.range(1).select(F.inline(F.array(*rows)).alias(*names))
+    return (F.broadcast(index) if len(rows) <= BROADCAST_ROWS else index), longest
 
-    def ints(values):
-        return F.array(*[F.lit(v) for v in values])
 
-    wanted = F.array(*[F.struct(F.lit(label).alias("label"), ints(own).alias("own"), ints(prefix).alias("prefix"), F.lit(need).alias("need")) for label, own, prefix, need in plan])
+def blocks(low: Column, w: Column, longest: dict[str, int]) -> Column:
+    """array<struct<token, near, at>>: every place of a prefix word, with the words around it.
 
-    def judge(block: Column) -> Column:
-        def pair(t: Column) -> Column:
-            first = F.get(F.array_intersect(t["prefix"], block), F.lit(0))
-            after = F.least(F.size(t["own"]) - F.array_position(t["own"], first), F.size(block) - F.array_position(block, first))
-            bound = (F.size(block) >= t["need"]) & first.isNotNull() & (1 + after >= t["need"])
-            shared = F.when(bound, F.size(F.array_intersect(block, t["own"]))).otherwise(F.lit(0))
-            return F.struct(t["label"].alias("label"), F.when(shared >= t["need"], shared / F.size(t["own"])).otherwise(F.lit(0.0)).alias("score"))
+    at is the word's place in near; for a line, near is all of it and at is null.
+    """
+    tokens = sorted(longest)
+    size = F.create_map(*[x for t in tokens for x in (F.lit(t), F.lit(longest[t]))])
 
-        return F.filter(F.transform(wanted, pair), lambda m: m["score"] > 0)
+    def opens(x: Column) -> Column:
+        return x.isin(*tokens)
 
-    return F.when(low.rlike(near), F.flatten(F.transform(held, judge))).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    def around(i: Column) -> Column:
+        most = size[F.get(w, i)]
+        start = F.greatest(i - most + 1, F.lit(0))
+        return F.struct(F.get(w, i).alias("token"), F.slice(w, start + 1, i - start + most).alias("near"), (i - start).alias("at"))
 
+    def line(x: Column) -> Column:
+        return F.transform(F.array_distinct(F.filter(x, opens)), lambda t: F.struct(t.alias("token"), x.alias("near"), F.lit(None).cast("int").alias("at")))
 
-def window_matches(low: Column, w: Column, templates, rank: dict[str, int], threshold: float) -> Column:
-    """array<struct<label, score>>: for each template that a run of as many words of w as it has holds to the threshold, its best.
+    places = F.transform(F.filter(F.transform(w, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull()), around)
+    lines = F.filter(F.transform(F.split(low, "\n"), words), lambda x: (F.size(x) <= LINE_WORDS) & F.exists(x, opens))
+    none = F.array().cast("array<struct<token:string,near:array<string>,at:int>>")
+    return F.when(F.exists(w, opens), F.concat(places, F.flatten(F.transform(lines, line)))).otherwise(none)
 
-    Only in texts of several lines that hold enough of the template's words at all, and only at runs with a word of its prefix.
-    """
-    order = sorted(rank, key=rank.get)
-    plan = []
-    for label, text in templates:
-        own = sorted({rank[x] for x in text.split()})
-        need = ceil(threshold * len(own) - 1e-9)
-        plan.append((label, [order[r] for r in own], [order[r] for r in own[: len(own) - need + 1]], need, len(text.split())))
-    opening = sorted({x for _, _, prefix, _, _ in plan for x in prefix})
-    near = rf"(?:^|{NOT_WORD})(?:{'|'.join(opening)})(?:{NOT_WORD}|$)"
-    wanted = F.array(*[F.struct(F.lit(label).alias("label"), strings(own).alias("own"), strings(prefix).alias("prefix"), F.lit(need).alias("need"), F.lit(n).alias("n")) for label, own, prefix, need, n in plan])
 
-    def best(t: Column) -> Column:
-        def around(i: Column) -> Column:
-            starts = F.sequence(F.greatest(i - t["n"] + 1, F.lit(0)), i)
-            return F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice(w, s + 1, t["n"]), t["own"]))))
+def containment(order: list[str]) -> Column:
+    """Of a block joined with INDEX's columns: the share of the template's words that it holds, null below the threshold.
 
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(t["prefix"], F.get(w, i)))
-        return F.struct(t["label"].alias("label"), F.array_max(F.transform(at, around)).alias("shared"), t["need"].alias("need"), F.size(t["own"]).alias("of"))
+    A window is the n words from some start that reach to the word at hand. The one that is aligned with
+    the template is looked at first; the others only if they could hold more.
+    """
+    own, need, n, at, near = (F.col(c) for c in ("own", "need", "n", "at", "near"))
+    here = F.when(at.isNull(), near).otherwise(F.slice(near, F.greatest(at - n + 1, F.lit(0)) + 1, F.least(at, n - 1) + n))
+    ranked = F.array_intersect(strings(order), here)
+    after = F.least(F.size(own) - F.col("place"), F.size(ranked) - F.array_position(ranked, F.col("token")).cast("int") + 1)
+    most = F.size(F.array_intersect(own, here))
 
-    def scored(held: Column) -> Column:
-        fits = F.filter(wanted, lambda t: F.size(F.array_intersect(held, t["own"])) >= t["need"])
-        found = F.filter(F.transform(fits, best), lambda m: m["shared"] >= m["need"])
-        return F.transform(found, lambda m: F.struct(m["label"].alias("label"), (m["shared"] / m["of"]).alias("score")))
+    def held(start: Column) -> Column:
+        return F.size(F.array_intersect(F.slice(near, start + 1, n), own))
 
-    held = F.array(F.array_intersect(w, strings(order)))
-    return F.when((F.instr(low, "\n") > 0) & low.rlike(near), F.flatten(F.transform(held, scored))).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    straight = held(F.greatest(at - F.col("aligned"), F.lit(0)))
+    every = F.array_max(F.transform(F.sequence(F.greatest(at - n + 1, F.lit(0)), at), held))
+    shared = F.when(at.isNull() | (straight == most), most).otherwise(every)
+    fits = (F.size(here) >= need) & (after >= need) & (most >= need)
+    return F.when(fits, F.when(shared >= need, shared / F.size(own)))
 
 
 def places(w: Column, phrase: str) -> Column:
@@ -137,25 +156,31 @@ def license_labels(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs(doc_id, text).
 
     Null or empty text has no word. score is 1 where a base phrase stands, else the largest containment
-    among the templates found, else 0. Repeated rows each come back; an empty table gives an empty
-    result. Columns other than doc_id and text are not looked at.
+    among the templates found, else 0. Texts are read whole, however long; what is moved of them is the
+    words around prefix words. Words of equal frequency are ranked by letter. Repeated rows each come back;
+    an empty table gives an empty result. Columns other than doc_id and text are not looked at. templates:
+    rows (label, words); a label may have several.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     seen = document_frequencies(docs, vocabulary)
-    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
+    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
+    index, longest = prefix_index(spark, templates, {w: k for k, w in enumerate(order)}, threshold)
     gap = rf"{NOT_WORD}+"
     maybe = "|".join(gap.join(p.split()) for p, _ in PHRASES)
     w = F.col("words")
     starts = F.when(F.col("low").rlike(maybe), F.array(*[places(w, p) for p, _ in PHRASES]))
     rows = docs.select("doc_id", lowered(F.col("text")).alias("low")).select("doc_id", "low", words(F.col("low")).alias("words"))
-    rows = rows.select("doc_id", F.size(w).cast("long").alias("n_words"), starts.alias("starts"), F.concat(block_matches(F.col("low"), templates, rank, threshold), window_matches(F.col("low"), w, templates, rank, threshold)).alias("found"))
+    rows = rows.select("doc_id", F.size(w).cast("long").alias("n_words"), starts.alias("starts"), blocks(F.col("low"), w, longest).alias("blocks"))
     flat = F.coalesce(F.flatten("starts"), F.array().cast("array<int>"))
     base = F.coalesce(F.filter(F.array(*[F.when(F.size(F.get("starts", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull()), strings([]))
-    labels = F.array_sort(F.array_distinct(F.concat(base, F.transform("found", lambda m: m["label"]))))
-    top = F.coalesce(F.array_max(F.transform("found", lambda m: m["score"])), F.lit(0.0))
-    return rows.select(
-        "doc_id", "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"), F.array_max(flat).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.when(F.size(flat) > 0, F.lit(1.0)).otherwise(top).alias("score"),
+    told = F.struct("doc_id", "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"), F.array_max(flat).cast("long").alias("last_word"), F.array_distinct(base).alias("base"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), told.alias("told"), "blocks").select("row", "told", F.explode_outer("blocks").alias("b"))
+    pairs = rows.select("row", "told", "b.*").join(index, "token", "left").withColumn("share", containment(order))
+    found = pairs.groupBy("row").agg(F.first("told").alias("told"), F.collect_set(F.when(F.col("share").isNotNull(), F.col("label"))).alias("found"), F.max("share").alias("share"))
+    labels = F.array_sort(F.array_union("told.base", "found"))
+    return found.select(
+        "told.doc_id", "told.n_words", "told.n_base", "told.first_word", "told.last_word", F.array_join(F.array_sort("told.base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
+        F.when(F.col("told.n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
