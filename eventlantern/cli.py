@@ -8,6 +8,7 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from .config import load_aliases, load_mapping
 from .operators.documents import record_documents
@@ -19,7 +20,7 @@ from .operators.resolve import resolve_one
 from .operators.router import MODES, route
 from .operators.search import search
 from .session import local_session
-from .sources.records import read_raw, scan, write_records
+from .sources.records import load_records, read_raw, write_records
 
 
 def plain(x):
@@ -47,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{k.replace('_', '-')}", type=type(v), default=v)
         return p
 
-    command("extract", "events!", "output!", "mapping")
+    command("extract", "events!", "output!", "mapping", "offense-id")
     command("resolve", "question!", "aliases", top=5, threshold=0.25)
     for name, extra in (("answer", ("question!", "aliases")), ("search", ("query!",)), ("route", ("query!", "aliases"))):
         p = command(name, "records!", "offense-id", *extra, **({"top": 5, "threshold": 0.25} if name == "answer" else {"limit": 10}))
@@ -68,17 +69,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or local_session()
     aliases = load_aliases(getattr(a, "aliases", None))
     if a.command == "extract":
-        write_records(extract(read_raw(spark, a.events), load_mapping(a.mapping)), a.output)
+        raw = read_raw(spark, a.events)
+        raw = raw if a.offense_id is None else raw.withColumn("offense_id", F.lit(a.offense_id))
+        write_records(extract(raw, load_mapping(a.mapping)), a.output)
         out = {"output": a.output}
     elif a.command == "resolve":
         found = resolve_one(spark, a.question, aliases, a.top, a.threshold)
         out = {"best_field": found[0]["field"] if found else None, "matches": found}
     elif a.command == "answer":
-        out = answer(scan(spark, a.records, a.offense_id), a.question, aliases, a.top, a.threshold)
+        out = answer(load_records(spark, a.records, a.offense_id), a.question, aliases, a.top, a.threshold)
     elif a.command == "search":
-        out = search(record_documents(scan(spark, a.records, a.offense_id)), a.query, a.mode, a.limit, a.min_score)
+        out = search(record_documents(load_records(spark, a.records, a.offense_id)), a.query, a.mode, a.limit, a.min_score)
     elif a.command == "route":
-        out = route(scan(spark, a.records, a.offense_id), a.query, a.mode, a.limit, aliases)
+        out = route(load_records(spark, a.records, a.offense_id), a.query, a.mode, a.limit, aliases)
     elif a.command == "intake":
         with open(a.file, "rb") as f:
             out = run_intake(spark, a.file.rsplit("/", 1)[-1], f.read(), a.raw, a.records, a.overwrite, a.mapping)

@@ -40,61 +40,95 @@ THRESHOLDS = {
     "bm25_min_score_non_identifier": 0.10,
     "bm25_long_exact_token_min_length": 6,
 }
+UI_LIMITS = (1, 10)
 STRONG_REASONS = ("exact_question_match", "alias_phrase_in_question", "question_phrase_in_alias")
 SPARSE_FIELDS = 8
 
-# Where each target field is read. `e` is the event, `p` its decoded payload; `[]` fans out
-# over an array; of several paths the first that is not empty counts.
-IDENTITY = {"offense_id": "provided_by_pipeline", "event_index": "generated_by_pipeline", "event_id": "p.id"}
-_ACTION, _FILE, _REGISTRY = "p.bp_data.details.actions[].", "p.bp_data.observables.file[].", "p.bp_data.observables.registry[]."
-_SET = "p.bp_data.details.matched_activity.events[].registry:set."
+# Where each target field is read. `event` is the event, `utf8_payload` its decoded payload; `[]`
+# fans out over an array; of several paths the first that is not empty counts.
+IDENTITY = {"offense_id": "provided_by_pipeline", "event_index": "generated_by_pipeline", "event_id": "utf8_payload.id"}
 FIELDS: dict[str, list[str]] = {
-    **{f"qradar.{x}": [f"e.{x}"] for x in "starttime sourceip destinationip logsourceid qid category magnitude username".split()},
-    **{f"cisco.{x}": [f"p.{x}"] for x in "date event_type event_type_id".split()},
-    "cisco.detection": ["p.detection", "p.cloud_ioc.short_description"],
-    **{f"cisco.{x}": [f"p.{x}"] for x in "severity connector_guid".split()},
-    **{f"cisco.{x}": [f"p.{x}[]"] for x in "group_guids tactics techniques".split()},
-    **{f"computer.{x}": [f"p.computer.{x}"] for x in "hostname external_ip".split()},
-    "computer.network_ips": ["p.computer.network_addresses[].ip"],
-    "computer.network_macs": ["p.computer.network_addresses[].mac"],
-    **{f"computer.{x}": [f"p.bp_data.device.{x}"] for x in "os.name os.version os.build hw_info.vendor_name hw_info.serial_number".split()},
-    "actions.action": [_ACTION + "action"],
-    "actions.name": [_ACTION + "name", "p.file.file_name"],
-    "actions.path": [_ACTION + "path", "p.file.file_path"],
-    "actions.cmd_line": [_ACTION + "cmd_line", "p.command_line.arguments"],
-    "actions.sha256": [_ACTION + "sha256", "p.file.identity.sha256"],
-    **{f"actions.{x}": [_ACTION + x] for x in "pid ppid status error".split()},
-    "observables.file.name": [_FILE + "name", "p.file.file_name"],
-    "observables.file.path": [_FILE + "path", "p.file.file_path"],
-    **{f"observables.file.{x}": [_FILE + x] for x in "md5 sha1".split()},
-    "observables.file.sha256": [_FILE + "sha256", "p.file.identity.sha256"],
-    "observables.file.parent.sha256": ["p.file.parent.identity.sha256"],
-    **{f"observables.file.signature.{x}": [f"{_FILE}signature.{x}"] for x in "trusted issuer subject".split()},
-    **{f"observables.registry.{x}": [_REGISTRY + x] for x in "key value".split()},
-    **{f"registry_set.{x}": [_SET + x] for x in "app.name app.path app.sha256 app.size app.original_file_name app.original_file_version app.original_vendor_name cmd_line pid puid guid boot_sid ts key value data_txt data_int data_len user.domain user.name user.sid".split()},
-    "normalized.observables.all": ["p.bp_data.normalized.observables.all[]"],
-    "normalized.severity_id": ["p.bp_data.normalized.severity_id"],
-    "normalized.name": ["p.bp_data.normalized.name", "p.cloud_ioc.short_description"],
-    "cloud_ioc.short_description": ["p.cloud_ioc.short_description"],
-    "cloud_ioc.description": ["p.cloud_ioc.description"],
+    "qradar.starttime": ["event.starttime"],
+    "qradar.sourceip": ["event.sourceip"],
+    "qradar.destinationip": ["event.destinationip"],
+    "qradar.logsourceid": ["event.logsourceid"],
+    "qradar.qid": ["event.qid"],
+    "qradar.category": ["event.category"],
+    "qradar.magnitude": ["event.magnitude"],
+    "qradar.username": ["event.username"],
+    "cisco.date": ["utf8_payload.date"],
+    "cisco.event_type": ["utf8_payload.event_type"],
+    "cisco.event_type_id": ["utf8_payload.event_type_id"],
+    "cisco.detection": ["utf8_payload.detection", "utf8_payload.cloud_ioc.short_description"],
+    "cisco.severity": ["utf8_payload.severity"],
+    "cisco.connector_guid": ["utf8_payload.connector_guid"],
+    "cisco.group_guids": ["utf8_payload.group_guids[]"],
+    "cisco.tactics": ["utf8_payload.tactics[]"],
+    "cisco.techniques": ["utf8_payload.techniques[]"],
+    "computer.hostname": ["utf8_payload.computer.hostname"],
+    "computer.external_ip": ["utf8_payload.computer.external_ip"],
+    "computer.network_ips": ["utf8_payload.computer.network_addresses[].ip"],
+    "computer.network_macs": ["utf8_payload.computer.network_addresses[].mac"],
+    "computer.os.name": ["utf8_payload.bp_data.device.os.name"],
+    "computer.os.version": ["utf8_payload.bp_data.device.os.version"],
+    "computer.os.build": ["utf8_payload.bp_data.device.os.build"],
+    "computer.hw_info.vendor_name": ["utf8_payload.bp_data.device.hw_info.vendor_name"],
+    "computer.hw_info.serial_number": ["utf8_payload.bp_data.device.hw_info.serial_number"],
+    "actions.action": ["utf8_payload.bp_data.details.actions[].action"],
+    "actions.name": ["utf8_payload.bp_data.details.actions[].name", "utf8_payload.file.file_name"],
+    "actions.path": ["utf8_payload.bp_data.details.actions[].path", "utf8_payload.file.file_path"],
+    "actions.cmd_line": ["utf8_payload.bp_data.details.actions[].cmd_line", "utf8_payload.command_line.arguments"],
+    "actions.sha256": ["utf8_payload.bp_data.details.actions[].sha256", "utf8_payload.file.identity.sha256"],
+    "actions.pid": ["utf8_payload.bp_data.details.actions[].pid"],
+    "actions.ppid": ["utf8_payload.bp_data.details.actions[].ppid"],
+    "actions.status": ["utf8_payload.bp_data.details.actions[].status"],
+    "actions.error": ["utf8_payload.bp_data.details.actions[].error"],
+    "observables.file.name": ["utf8_payload.bp_data.observables.file[].name", "utf8_payload.file.file_name"],
+    "observables.file.path": ["utf8_payload.bp_data.observables.file[].path", "utf8_payload.file.file_path"],
+    "observables.file.md5": ["utf8_payload.bp_data.observables.file[].md5"],
+    "observables.file.sha1": ["utf8_payload.bp_data.observables.file[].sha1"],
+    "observables.file.sha256": ["utf8_payload.bp_data.observables.file[].sha256", "utf8_payload.file.identity.sha256"],
+    "observables.file.parent.sha256": ["utf8_payload.file.parent.identity.sha256"],
+    "observables.file.signature.trusted": ["utf8_payload.bp_data.observables.file[].signature.trusted"],
+    "observables.file.signature.issuer": ["utf8_payload.bp_data.observables.file[].signature.issuer"],
+    "observables.file.signature.subject": ["utf8_payload.bp_data.observables.file[].signature.subject"],
+    "observables.registry.key": ["utf8_payload.bp_data.observables.registry[].key"],
+    "observables.registry.value": ["utf8_payload.bp_data.observables.registry[].value"],
+    "registry_set.app.name": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.app.name"],
+    "registry_set.app.path": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.app.path"],
+    "registry_set.app.sha256": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.app.sha256"],
+    "registry_set.app.size": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.app.size"],
+    "registry_set.app.original_file_name": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.app.original_file_name"],
+    "registry_set.app.original_file_version": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.app.original_file_version"],
+    "registry_set.app.original_vendor_name": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.app.original_vendor_name"],
+    "registry_set.cmd_line": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.cmd_line"],
+    "registry_set.pid": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.pid"],
+    "registry_set.puid": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.puid"],
+    "registry_set.guid": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.guid"],
+    "registry_set.boot_sid": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.boot_sid"],
+    "registry_set.ts": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.ts"],
+    "registry_set.key": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.key"],
+    "registry_set.value": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.value"],
+    "registry_set.data_txt": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.data_txt"],
+    "registry_set.data_int": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.data_int"],
+    "registry_set.data_len": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.data_len"],
+    "registry_set.user.domain": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.user.domain"],
+    "registry_set.user.name": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.user.name"],
+    "registry_set.user.sid": ["utf8_payload.bp_data.details.matched_activity.events[].registry:set.user.sid"],
+    "normalized.observables.all": ["utf8_payload.bp_data.normalized.observables.all[]"],
+    "normalized.severity_id": ["utf8_payload.bp_data.normalized.severity_id"],
+    "normalized.name": ["utf8_payload.bp_data.normalized.name", "utf8_payload.cloud_ioc.short_description"],
+    "cloud_ioc.short_description": ["utf8_payload.cloud_ioc.short_description"],
+    "cloud_ioc.description": ["utf8_payload.cloud_ioc.description"],
 }
 
 
 def load_mapping(path: str | None = None) -> dict[str, list[str]]:
-    """Target field -> paths, from a JSON file with `fields`, or the built-in mapping.
-
-    Paths in files may name the roots `event` and `utf8_payload` in full.
-    """
+    """Target field -> paths, from a JSON file with `fields`, or the built-in mapping."""
     if path is None:
         return dict(FIELDS)
     fields = json.loads(Path(path).read_text(encoding="utf-8-sig"))["fields"]
-    roots = {"event": "e", "utf8_payload": "p"}
-
-    def short(p: str) -> str:
-        head, dot, rest = p.partition(".")
-        return roots.get(head, head) + dot + rest
-
-    return {k: [short(p) for p in ([v] if isinstance(v, str) else v)] for k, v in fields.items()}
+    return {k: [v] if isinstance(v, str) else list(v) for k, v in fields.items()}
 
 
 def load_aliases(path: str | None = None, fields: dict | None = None) -> dict[str, list[str]]:

@@ -47,7 +47,7 @@ def _fan(root: Column, steps: list[tuple[str, bool]]) -> Column:
 def read_path(event: Column, decoded: Column, path: str) -> Column:
     """FIELD of one path, null where a path without fan-out finds nothing."""
     root, _, inner = path.partition(".")
-    base = event if root == "e" else decoded
+    base = event if root in ("event", "e") else decoded
     if "[]" in path:
         return F.struct(F.lit(False).alias("scalar"), _texts(_fan(base, _steps(inner))).alias("items"))
     found = F.try_variant_get(base, _steps(inner)[0][0], "variant")
@@ -69,7 +69,18 @@ def read_field(event: Column, decoded: Column, paths: list[str]) -> Column:
     return F.coalesce(*[F.when(has_value(r), r) for r in read], none)
 
 
+# The marks of JSON text that carry something: strings, numbers, true and false.
+_LEAF = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false'
+
+
+def _text_of(token: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(token), "$", "string")
+
+
 def plain(item: Column) -> Column:
-    """The text of a JSON value: strings without quotes, objects and arrays with blanks for their marks."""
-    text = F.try_variant_get(F.try_parse_json(item), "$", "string")
-    return F.when(item.rlike(r"^\s*[\[{]"), F.trim(F.regexp_replace(item, r'[\[\]{}",:]+', " "))).otherwise(text)
+    """The text of a JSON value: a string without quotes; of objects and arrays every name and value in turn, names in order.
+
+    Empty texts and nulls inside are left out.
+    """
+    leaves = F.filter(F.transform(F.regexp_extract_all(item, F.lit(_LEAF), F.lit(0)), _text_of), lambda x: x.isNotNull() & (x != ""))
+    return F.when(item.rlike(r"^\s*[\[{]"), F.array_join(leaves, " ")).otherwise(_text_of(item))

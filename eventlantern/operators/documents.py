@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DISPLAY_FIELDS, load_mapping
@@ -46,13 +46,8 @@ def display_order(a: Column, b: Column) -> Column:
 
 
 def text_documents(df: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
-    """Documents of a table with one text for each row; event_index numbers the rows of a group by key."""
+    """Documents of a table with one text for each row; a row's key is its place and its id, so nothing is sorted."""
     scope = F.col(group).cast("string") if group else F.lit("all")
     rows = df.select(scope.alias("offense_id"), F.col(key).cast("long").alias("event_id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("load_ord", F.col("event_id")).withColumn("value_text", F.col("text")).withColumn("event_index", F.col("event_id"))
     return _analysed(rows)
-
-
-def numbered(df: DataFrame, group: str, key: str) -> DataFrame:
-    """Adds event_index: the position of a row in its group by key, from 0."""
-    return df.withColumn("event_index", (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).cast("long"))

@@ -80,13 +80,13 @@ def choose_target(report: Report, spark: SparkSession, name: str, raw_dir: str,
     others = [n for n in there if n != name]
     level = "warning" if overwrite else "error"
     target = name
-    if others and (not overwrite or len(there) > 1):
+    if name in there:
+        report.add(level, "existing raw file", f"{name} exists")
+    elif others and (not overwrite or len(there) > 1):
         report.add("error", "existing raw filename", f"other raw files of this incident: {', '.join(others)}")
     elif others:
         target = others[0]
         report.add("warning", "existing raw filename", f"{target} is written instead of {name}")
-    if name in there:
-        report.add(level, "existing raw file", f"{name} exists")
     if report.offense_id in available(spark, records_path):
         report.add(level, "existing metadata output", f"records of {report.offense_id} exist")
     else:
@@ -112,7 +112,7 @@ def validate(report: Report, records: DataFrame, expected: int) -> None:
     for bad, level, check, told in (
         (got["other"] > 0, "error", "metadata offense_id", f"{got['other']} records of another incident"),
         (got["events"] != expected, "error", "metadata event count", f"{got['events']} records for {expected} events"),
-        (got["no_index"] > 0, "error", "metadata identity", f"{got['no_index']} records without an index"),
+        (got["no_index"] + got["no_fields"] > 0, "error", "metadata identity", f"{got['no_index']} records without an index, {got['no_fields']} without fields"),
         (got["duplicates"] > 0, "error", "metadata event indexes", f"{got['duplicates']} indexes more than once"),
         (got["no_id"] > 0, "warning", "metadata event_id", f"{got['no_id']} records without an id"),
         (got["sparse"] > 0, "warning", "sparse mapped fields", f"{got['sparse']} records with fewer than {SPARSE_FIELDS} fields"),

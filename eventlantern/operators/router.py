@@ -40,7 +40,7 @@ def field_decision(found: list[dict], q: Query) -> dict:
     rules = (
         (bool(q.ids), False, "identifier_query_skips_exact_field"),
         (top is None, False, "no_resolver_candidate"),
-        (top and top["phrase_words"] == 1 < top["question_words"], False, "single_token_alias_inside_multi_token_query"),
+        (top and top["reason"] == "alias_phrase_in_question" and top["phrase_words"] == 1 < top["question_words"], False, "single_token_alias_inside_multi_token_query"),
         (top and top["score"] < THRESHOLDS["exact_field_min_score"], False, "resolver_score_below_threshold"),
         (top and top["reason"] not in STRONG_REASONS, False, "resolver_reason_not_strong"),
         (top and gap < THRESHOLDS["exact_field_min_gap"] and len(tied) > 1, True, "resolver_tied_exact_alias_candidates"),
@@ -90,6 +90,7 @@ def route(records: DataFrame, query: str, mode: str = "auto", limit: int = 10, a
     query = query.strip()
     if not query:
         return Response(query, mode, "exact_field", 0, [], Answer(query))
+    shown = {"auto": "auto_routed"}.get(mode, mode.replace("-", "_"))
     if mode == "exact":
         found = answer(records, query, aliases)
         return Response(query, "exact_field", "exact_field", found.event_count, [{"method": "exact_field", "accepted": True, "reason": "exact_field_only"}], found)
@@ -99,11 +100,11 @@ def route(records: DataFrame, query: str, mode: str = "auto", limit: int = 10, a
         if step["accepted"]:
             found = answer(records, query, aliases)
             if found.event_count:
-                return Response(query, mode, "exact_field", found.event_count, [step | {"outcome": "exact_field_confident_and_useful"}], found)
+                return Response(query, shown, "exact_field", found.event_count, [step | {"outcome": "exact_field_confident_and_useful"}], found)
             step = step | {"accepted": False, "outcome": "exact_field_empty_or_not_useful"}
         trace.append(step)
     docs = record_documents(records).persist()  # read by both methods
     try:
-        return text_route(docs, query, limit, mode.replace("-", "_"), trace)
+        return text_route(docs, query, limit, shown, trace)
     finally:
         docs.unpersist()

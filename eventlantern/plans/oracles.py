@@ -87,9 +87,9 @@ r AS (SELECT doc_id, sum({TERM}) AS raw, string_agg(term || '>' || term, ',' ORD
 SELECT doc_id, round_even(raw, 4) AS score, matched_terms, '' AS matched_identifiers FROM r WHERE raw > 0 ORDER BY score DESC, doc_id LIMIT {limit}"""
 
 
-def fuzzy_terms_cte() -> str:
-    q = list(dict.fromkeys(words_of(TYPO)))
-    return f"""{docs()}, s AS (SELECT count(*) AS n FROM docs), q AS (SELECT unnest({strings(q)}) AS query_term, unnest(range({len(q)})) AS k),
+def fuzzy_terms_cte(table: str | None = None, tokens: list[str] | None = None) -> str:
+    q = tokens or list(dict.fromkeys(words_of(TYPO)))
+    return f"""{table or docs()}, s AS (SELECT count(*) AS n FROM docs), q AS (SELECT unnest({strings(q)}) AS query_term, unnest(range({len(q)})) AS k),
 post AS (SELECT doc_id, unnest(list_distinct(tokens)) AS term FROM docs), v AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 p AS (SELECT *, length(query_term) AS a, length(term) AS b, levenshtein(query_term, term) AS e, CASE WHEN length(query_term) <= 4 THEN 1 WHEN length(query_term) <= 8 THEN 2 ELSE 3 END AS lim FROM v, q WHERE length(term) >= 4 AND length(query_term) >= 4 AND term <> query_term),
 m AS (SELECT query_term, k, term, df, CASE WHEN starts_with(query_term, term) OR starts_with(term, query_term) THEN 'partial' ELSE 'fuzzy' END AS kind,
@@ -151,9 +151,9 @@ r AS (SELECT page_id, host, {scores} FROM g) SELECT page_id, host FROM r WHERE l
 
 def word_sets() -> str:
     def side(s: str) -> str:
-        return f"SELECT DISTINCT unnest({words('text')}) AS term FROM documents WHERE lang {s} 'en'"
+        return f"SELECT DISTINCT unnest({words('text')}) AS term FROM documents WHERE {s} coalesce(lang = 'en', false)"
 
-    return f"""WITH a AS ({side('=')}), b AS ({side('<>')}) SELECT 'both' AS what, count(*) AS n FROM (SELECT term FROM a INTERSECT SELECT term FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT term FROM a UNION SELECT term FROM b)
+    return f"""WITH a AS ({side('')}), b AS ({side('NOT')}) SELECT 'both' AS what, count(*) AS n FROM (SELECT term FROM a INTERSECT SELECT term FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT term FROM a UNION SELECT term FROM b)
 UNION ALL SELECT 'first_only', count(*) FROM (SELECT term FROM a EXCEPT SELECT term FROM b)"""
 
 
@@ -198,6 +198,6 @@ SELECT e.offense_id, count(*) AS number_of_events, {iso('min(t)')} AS first_even
     "coverage_check": f"SELECT CAST(0 AS BIGINT) AS gaps, CAST({len(load_mapping())} AS BIGINT) AS fields",
     "identifier_sets": word_sets(),
     "scope_scan": "SELECT doc_id, lang FROM documents WHERE source = 'src5'",
-    "combined_scopes": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS load_ord FROM documents WHERE lang IS NOT NULL",
+    "combined_scopes": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS load_ord FROM documents",
     "intake_stream": f"SELECT offense_id, event_index, event_type FROM ({PLACE})",
 }

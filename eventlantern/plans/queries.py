@@ -20,13 +20,14 @@ from ..operators.resolve import phrase_table, resolve
 from ..operators.router import text_route
 from ..operators.search import analyse, bm25, bm25_batch, exact_ids, fuzzy, fuzzy_pairs, near_hosts, scored_terms, vocabulary
 from ..session import configure
+from .incidents import QUERIES as INCIDENT_QUERIES
 
 QUERY = "The license of Version on Apache things"
 IP_QUERY = "192.168.0.1"
 TYPO = "lisense aphache versoin"
 HOST_QUERY = "thher.example.org"
 QUESTIONS = ("What is the source ip?", "source ip", "show the registry key value", "command line of the process", "file", "hostname of the computer", "user name", "zebra")
-EVENT_FIELDS = {"type": ["e.event_type"], "user": ["e.user_id"], "k": ["p.missing", "p.k"], "none": ["p.absent[].x"]}
+EVENT_FIELDS = {"type": ["event.event_type"], "user": ["event.user_id"], "k": ["utf8_payload.missing", "utf8_payload.k"], "none": ["utf8_payload.absent[].x"]}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +56,7 @@ def event_records(spark, sf_dir) -> DataFrame:
 
 def payload_path_extract(spark, sf_dir):
     e = raw_events(spark, sf_dir)
-    held = read_path(F.col("event"), payload(F.col("event")), "p.k")
+    held = read_path(F.col("event"), payload(F.col("event")), "utf8_payload.k")
     return e.select("event_id", plain(F.get(held["items"], F.lit(0))).cast("long").alias("k"))
 
 
@@ -196,7 +197,7 @@ def inventory(spark, sf_dir):
     t = _table(spark, sf_dir, "events")
     doc = F.to_variant_object(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("starttime"), F.col("event_type").alias("logsourceid"), F.col("props").alias("utf8_payload")))
     rows = t.select(F.col("user_id").cast("string").alias("offense_id"), F.lit(0).alias("event_index"), doc.alias("event"))
-    r = extract(rows, {"qradar.starttime": ["e.starttime"], "cisco.date": ["p.date"], "qradar.logsourceid": ["e.logsourceid"]})
+    r = extract(rows, {"qradar.starttime": ["event.starttime"], "cisco.date": ["utf8_payload.date"], "qradar.logsourceid": ["event.logsourceid"]})
     return summarise(r).select("offense_id", "number_of_events", format_time(F.col("first")).alias("first_event_time"), format_time(F.col("last")).alias("last_event_time"), "logsourceid")
 
 
@@ -236,7 +237,7 @@ def coverage_check(spark, sf_dir):
 
 def identifier_sets(spark, sf_dir):
     """Intersection, union and difference of the words of English and of all other documents."""
-    t = _table(spark, sf_dir, "documents").select((F.col("lang") == "en").alias("en"), F.explode(word_list(F.col("text"))).alias("term"))
+    t = _table(spark, sf_dir, "documents").select(F.coalesce(F.col("lang") == "en", F.lit(False)).alias("en"), F.explode(word_list(F.col("text"))).alias("term"))
     a, b = (t.where(test).select("term").distinct() for test in ("en", "not en"))
     parts = {"both": a.intersect(b), "either": a.union(b).distinct(), "first_only": a.exceptAll(b)}
     out = None
@@ -253,7 +254,7 @@ def scope_scan(spark, sf_dir):
 
 def combined_scopes(spark, sf_dir):
     t = _table(spark, sf_dir, "documents")
-    one, two = (t.where(test).select("source", "doc_id") for test in ("lang = 'en'", "lang <> 'en'"))
+    one, two = (t.where(test).select("source", "doc_id") for test in ("coalesce(lang = 'en', false)", "not coalesce(lang = 'en', false)"))
     both = one.unionByName(two)
     return both.withColumn("load_ord", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long"))
 
@@ -271,12 +272,13 @@ def intake_stream(spark, sf_dir):
     events = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("category"), F.col("props").alias("utf8_payload"))))
     raw = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("offense_id")).agg(F.to_json(F.struct(events.alias("events"))).alias("value"))
     raw.repartition("offense_id").write.partitionBy("offense_id").text(f"{top}/raw")
-    stream_intake(spark, f"{top}/raw", f"{top}/records", f"{top}/checkpoint", {"category": ["e.category"], "k": ["p.k"]}).awaitTermination()
+    stream_intake(spark, f"{top}/raw", f"{top}/records", f"{top}/checkpoint", {"category": ["event.category"], "k": ["utf8_payload.k"]}).awaitTermination()
     told = F.get(F.col("fields")["category"]["items"], F.lit(0))
     return scan(spark, f"{top}/records").select("offense_id", "event_index", plain(told).alias("event_type"))
 
 
 QUERIES = {
+    **INCIDENT_QUERIES,
     "payload_path_extract": payload_path_extract, "payload_fallback_path": payload_fallback_path, "array_collect_dedup": array_collect_dedup, "records_long": records_long, "event_index": event_index,
     "exact_field_values": exact_field_values, "exact_field_count": exact_field_count, "exact_tied_fields": exact_tied_fields, "matching_event_rows": matching_event_rows, "resolve_field": resolve_field,
     "normalize_text": normalize_text, "word_tokens_tf": word_tokens_tf, "document_frequency": document_frequency, "corpus_stats": corpus_stats, "idf": idf,

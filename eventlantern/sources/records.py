@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +78,7 @@ def write_records(records: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 def available(spark: SparkSession, path: str) -> list[str]:
     """The ids in the records table, sorted."""
-    return [n.removeprefix("offense_id=") for n in listing(spark, path) if n.startswith("offense_id=")]
+    return sorted(unquote(n.removeprefix("offense_id=")) for n in listing(spark, path) if n.startswith("offense_id="))
 
 
 def scan(spark: SparkSession, path: str, offense_id: str | None = None) -> DataFrame:
@@ -101,6 +103,62 @@ def combine(*sets: DataFrame) -> DataFrame:
     return out
 
 
+def read_records_json(spark: SparkSession, *paths: str) -> DataFrame:
+    """RECORDS's columns of JSON records files: an object with offense_id and a list of events, each identity and fields.
+
+    An event without an offense_id has the file's, or the one in the file's name; one without an index has
+    its place. Raises ValueError for a file without a list of events, FileNotFoundError where no file is.
+    """
+    files = [p for p in paths if file_system(spark, p)[0].exists(file_system(spark, p)[1])]
+    if not files:
+        raise FileNotFoundError(f"no records file: {', '.join(paths)}")
+    doc = F.try_parse_json(F.regexp_replace("value", "^\ufeff", ""))
+    rows = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_name").alias("file"), doc.alias("doc"))
+    rows = rows.select("file", "doc", F.try_variant_get("doc", "$.events", "array<variant>").alias("events"))
+    bad = rows.where("events is null").select("file").first()
+    if bad:
+        raise ValueError(f"{bad[0]} has no list of events")
+    named = F.nullif(F.regexp_extract("file", RECORDS_NAME.pattern, 1), F.lit(""))
+    events = rows.select(F.coalesce(F.nullif(F.try_variant_get("doc", "$.offense_id", "string"), F.lit("")), named).alias("own"), F.posexplode("events").alias("pos", "e"))
+
+    def held(v):
+        listed = F.schema_of_variant(v).startswith("ARRAY")
+        items = F.when(listed, F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.to_json(x))).otherwise(F.array(F.to_json(v)))
+        return F.when(v.isNotNull() & ~F.is_variant_null(v), F.struct((~listed).alias("scalar"), items.alias("items"))).cast(FIELD)
+
+    fields = F.transform_values(F.try_variant_get("e", "$.fields", "map<string,variant>"), lambda _, v: held(v))
+    told = F.nullif(F.try_variant_get("e", "$.event_identity.offense_id", "string"), F.lit(""))
+    place = F.coalesce(F.try_variant_get("e", "$.event_identity.event_index", "bigint"), F.col("pos").cast("long"))
+    return events.select(place.alias("event_index"), F.try_variant_get("e", "$.event_identity.event_id", "bigint").alias("event_id"), F.col("pos").cast("long").alias("load_ord"), fields.alias("fields"), F.coalesce(told, "own").alias("offense_id"))
+
+
+def records_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """offense_id -> path of its JSON records file, by id."""
+    found = {records_id_of(n): f"{folder}/{n}" for n in listing(spark, folder) if records_id_of(n)}
+    return dict(sorted(found.items()))
+
+
+def load_records(spark: SparkSession, path: str, offense_id: str | None = None) -> DataFrame:
+    """Records of a JSON records file, of a folder of such files, or of a records table; a file given by name comes first.
+
+    Raises FileNotFoundError where the incident, or any incident, is missing.
+    """
+    if path.endswith(".json"):
+        return read_records_json(spark, path)
+    files = records_files(spark, path)
+    if not files:
+        return scan(spark, path, offense_id)
+    if offense_id is not None and str(offense_id) not in files:
+        raise FileNotFoundError(f"no records of {offense_id}")
+    return read_records_json(spark, *(files.values() if offense_id is None else [files[str(offense_id)]]))
+
+
+def relative(path: str, top: str) -> str:
+    """path as seen from the folder top, or as it is where it lies elsewhere."""
+    at, base = PurePosixPath(path), PurePosixPath(top)
+    return at.relative_to(base).as_posix() if at.is_relative_to(base) else path
+
+
 def export_json(records: DataFrame, path: str) -> None:
     """The records as JSON lines, a folder for each incident."""
     records.write.mode("overwrite").partitionBy("offense_id").json(path)
