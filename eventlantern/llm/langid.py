@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import free_name, small_batches
 
 TRAIN_TEXTS = 1_000  # the fit reads at most so many different texts of each language, of any length, smallest hash first
+RANKS = 1 << 30
 WORDS_PER_LANGUAGE = 50_000
 GRAMS_PER_ORDER = 20_000
 MAX_ORDER = 5
@@ -128,13 +129,17 @@ def build(counts: dict[str, Counter]) -> Model:
 def sample(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     """(lang, text): at most `train_texts` different texts of each language outside the held-out fold.
 
-    Texts are ranked by hash of doc_id and text without moving them; a row number that is cut at a limit
-    is cut in every map task first, so a hot language does not meet in one. Copies of a row count once.
+    Texts are ranked by hash of doc_id and text without moving them. How many different rows a language
+    has tells up to which hash some twice the bound lie, so only so many of a hot language ever meet to be
+    cut at it. Copies of a row count once.
     """
     usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
     usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = usable.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= train_texts).select("lang", "h")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(RANKS)), "h"))
+    rank = F.pmod("h", F.lit(RANKS))
+    least = usable.groupBy("lang").agg((F.lit(2 * train_texts * RANKS) / F.approx_count_distinct("h")).alias("below"))
+    few = usable.select("lang", "h").join(F.broadcast(least), "lang").where(rank <= F.col("below")).select("lang", "h")
+    picked = few.distinct().withColumn("nth", nth).where(F.col("nth") <= train_texts).select("lang", "h")
     return usable.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
