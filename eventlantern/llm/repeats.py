@@ -1,25 +1,23 @@
 """Exact removal of repeated 100-byte strings by prefix-free parsing.
 
 A rolling hash over TRIGGER bytes marks triggers; a phrase runs from one trigger through the next, so
-no phrase is a prefix of another and where a text is cut depends on its content alone. Phrases that
-occur once in the corpus are dropped from the dictionary at once: a window that holds one whole cannot
-repeat. The windows left are put in order by dictionary and parse, without looking at single windows:
-
-* All windows with the same first and last trigger form a group. Its core is the string from the first
-  trigger to the end of the last, its frame the core with the phrases it is cut from on either side.
-  Equal windows have equal cores at the same place, and equal frames make all windows of two groups equal.
-* Sorting groups by (core, frame, corpus order) therefore settles them: a group whose frame stands
-  earlier repeats; a group with the first of several equal frames does not, if its core has no other
-  frame. Only where one core has different frames are the first group's windows hashed one by one and
-  sorted, and so are windows without a trigger.
-
-Corpus order is doc_id, then position. Only equality and the first of equals matter here, so strings are
-ordered by 64-bit hash, not by letter (two groups must agree in 96 bits).
-
-Blocks of consecutive documents are the unit of work. A block sends each key once to the bucket the key
-hashes to; a bucket sorts keys by block and answers in bits. A key's bucket therefore gets one entry for
-each block at most, however often a passage repeats. Blocks are stored bucketed by number, so answers
-come back without moving text again.
+no phrase is a prefix of another and where a text is cut depends on its content alone.
+
+* Phrases that occur once in the corpus are dropped at once: a window of 100 bytes that holds one whole
+  cannot repeat. This is decided by hash; a collision only keeps a window in play that need not be.
+* The windows left are dealt by anchor, the least hash of the GRAM-byte strings in a window, which equal
+  windows share wherever they stand. Neighbouring windows of one anchor are a region. Equal regions are
+  one: all copies but the first repeat. An anchor with one region is settled by that.
+* Regions of one anchor that differ are put in order. Their phrases make a dictionary, sorted by letter;
+  the texts are parsed into ranks of phrases. A suffix array of the dictionary and one of the parse give
+  corpus order: a window is ordered by the rest of its phrase, then by the parse that follows. Neighbours
+  in that order are compared byte by byte, so windows count as equal only if they are.
+
+Corpus order is doc_id, then position. Blocks of consecutive documents are the unit of work. A block
+sends each phrase and each distinct region once to the bucket it hashes to and gets bits back, so a
+passage reaches its bucket once for each block at most, however often it repeats. Messages are as many
+as blocks times buckets or as there are keys, whichever is less; sizes of both are parameters. Blocks are
+stored bucketed by number, so answers come back without moving text again.
 """
 
 from __future__ import annotations
@@ -38,8 +36,11 @@ from .common import release, remove, scratch, small_batches
 LENGTH = 100
 TRIGGER = 8
 ONE_IN = 16  # bytes for each trigger, on average
+GRAM = 32
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 32 << 20  # text for each bucket
+PART_BYTES = (8 << 20, 128 << 20)  # text for each partition, while they are few and at most
+FEW_PARTS, MOST_PARTS = 4096, 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -96,10 +97,10 @@ class Block:
         """A hash for each pair of neighbouring triggers; those across texts are not used later."""
         return self.hash(self.trig[:-1], self.trig[1:] + TRIGGER) if len(self.trig) > 1 else np.empty(0, np.uint64)
 
-    def groups(self, repeated: np.ndarray):
-        """(lo, hi, core, frame, bare): window starts lo..hi of each group that may repeat.
+    def may_repeat(self, repeated: np.ndarray) -> np.ndarray:
+        """For each byte, whether the window that starts there stays in play; repeated: for each phrase.
 
-        core and frame are hashes; bare groups have no trigger. repeated: for each phrase.
+        Between two cuts, where a trigger leaves or enters the window, all windows hold the same phrases.
         """
         t, start, end = self.trig, self.off[:-1], self.off[1:]
         last = end - LENGTH
@@ -109,28 +110,101 @@ class Block:
         ok = (cut >= start[of]) & (cut <= last[of])
         cut, at = np.unique(cut[ok], return_index=True)
         of = of[ok][at]
-        if not len(cut):
+        change = np.zeros(len(self.bytes) + 1, np.int32)
+        if len(cut):
+            hi = np.minimum(np.r_[cut[1:] - 1, np.iinfo(np.int64).max], last[of])
+            first = np.searchsorted(t, cut)
+            final = np.searchsorted(t, cut + (LENGTH - TRIGGER), "right") - 1
+            once = np.r_[0, np.cumsum(~repeated)]
+            top = len(once) - 1
+            may = (final < first) | (once[np.clip(final, 0, top)] == once[np.clip(first, 0, top)])
+            np.add.at(change, cut[may], 1)
+            np.add.at(change, hi[may] + 1, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def regions(self, repeated: np.ndarray):
+        """(lo, hi, anchor, again): window starts lo..hi of each region in play; again: its anchor stands in it more than once."""
+        starts = np.flatnonzero(self.may_repeat(repeated))
+        if not len(starts):
             none = np.empty(0, np.int64)
-            return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
-        hi = np.minimum(np.r_[cut[1:] - 1, np.iinfo(np.int64).max], last[of])
-        first = np.searchsorted(t, cut)
-        final = np.searchsorted(t, cut + (LENGTH - TRIGGER), "right") - 1
-        bare = final < first
-        once = np.r_[0, np.cumsum(~repeated)]
-        top = len(once) - 1
-        may = bare | (once[np.clip(final, 0, top)] == once[np.clip(first, 0, top)])
-        cut, hi, of, first, final, bare = (v[may] for v in (cut, hi, of, first, final, bare))
-        core, frame = np.zeros(len(cut), np.uint64), np.zeros(len(cut), np.uint64)
-        g = np.flatnonzero(~bare)
-        if len(g):
-            f, z, d = first[g], final[g], of[g]
-            prev, nxt = np.maximum(f - 1, 0), np.minimum(z + 1, len(t) - 1)
-            left = np.where((f > 0) & (self.doc[prev] == d), t[prev], start[d])
-            right = np.where((z + 1 < len(t)) & (self.doc[nxt] == d), t[nxt] + TRIGGER, end[d])
-            core[g] = self.hash(t[f], t[z] + TRIGGER)
-            place = (t[f] - left).astype(np.uint64) * _C1 + (cut[g] - left).astype(np.uint64) * _C2 + (hi[g] - left).astype(np.uint64) * np.uint64(_BASE)
-            frame[g] = _mix(self.hash(left, right) ^ place)
-        return cut, hi, core, frame, bare
+            return none, none, none.astype(np.uint64), none.astype(bool)
+        grams = self.hash(np.arange(len(self.bytes) - GRAM + 1), np.arange(GRAM, len(self.bytes) + 1))
+        least, width, span = grams, 1, LENGTH - GRAM + 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+        anchor = least[starts]
+        doc = np.searchsorted(self.off, starts, "right")
+        new = np.r_[True, (np.diff(starts) > 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
+        head = np.flatnonzero(new)
+        lo, hi, anchor = starts[head], starts[np.r_[head[1:], len(starts)] - 1], anchor[head]
+        size = hi - lo + span
+        at = np.repeat(lo, size) + _spread(size)
+        same = np.add.reduceat((grams[at] == np.repeat(anchor, size)).astype(np.int64), np.cumsum(size) - size)
+        return lo, hi, anchor, same > 1
+
+
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks, from 1, of the suffixes that start at each symbol and reach to its end, by their first `depth` symbols at least.
+
+    Equal suffixes have equal ranks; an end comes before every symbol. Prefix doubling: ranks for twice the
+    length are ranks of pairs.
+    """
+    if not len(symbols):
+        return np.empty(0, np.int64)
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+    here, width = np.arange(len(symbols)), 1
+    while width < depth:
+        then = here + width
+        pair = np.where(then < ends, rank[np.minimum(then, len(symbols) - 1)], 0)
+        found, new = np.unique(rank * (rank.max() + 1) + pair, return_inverse=True)
+        rank, width = new.astype(np.int64) + 1, 2 * width
+        if len(found) == len(symbols):
+            break
+    return rank
+
+
+def stands_earlier(texts: list[bytes]) -> list[np.ndarray]:
+    """For each window start of each text, whether an equal window starts earlier: in a text before it or before in its own.
+
+    The texts are parsed; dictionary and parse are put in order apart and combined (see above).
+    """
+    block = Block(b"".join(texts), np.array([len(t) for t in texts], np.int64))
+    off, n = block.off, len(block.bytes)
+    # Phrases: from the start of a text or a trigger through the next trigger, or to the end of the text.
+    begin = np.unique(np.r_[off[:-1], block.trig])
+    begin = begin[begin < n]
+    text = np.searchsorted(off, begin, "right") - 1
+    last = np.r_[text[1:] != text[:-1], True]
+    stop = np.where(last, off[text + 1], np.minimum(np.r_[begin[1:], n] + TRIGGER, off[text + 1]))
+    data = block.bytes.tobytes()
+    phrases = [data[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+    dictionary = sorted(set(phrases))
+    number = {p: k for k, p in enumerate(dictionary)}
+    parse = np.fromiter(map(number.__getitem__, phrases), np.int64, len(phrases))
+    size = np.fromiter(map(len, dictionary), np.int64, len(dictionary))
+    place = np.cumsum(size) - size
+    of_dictionary = suffix_ranks(np.frombuffer(b"".join(dictionary), np.uint8), np.repeat(place + size, size), LENGTH)
+    ends = np.searchsorted(text, text, "right")
+    of_parse = np.r_[suffix_ranks(parse, ends, LENGTH), 0]
+    # Corpus order of the windows: the rest of the phrase a window starts in, then the parse that follows.
+    counts = np.maximum(np.diff(off) - LENGTH + 1, 0)
+    at = np.repeat(off[:-1], counts) + _spread(counts)
+    mine = np.searchsorted(begin, at, "right") - 1
+    rest = of_dictionary[place[parse[mine]] + at - begin[mine]]
+    follows = of_parse[np.where(last[mine], len(parse), mine + 1)]
+    order = np.lexsort((at, follows, rest))
+    a, b = at[order[:-1]], at[order[1:]]
+    same = np.ones(len(a), bool)
+    for k in range(LENGTH):
+        same[same] = block.bytes[a[same] + k] == block.bytes[b[same] + k]
+    earlier = np.zeros(len(at), bool)
+    if len(order):
+        head = np.flatnonzero(np.r_[True, ~same])
+        first = np.minimum.reduceat(order, head)
+        earlier[order] = order > np.repeat(first, np.diff(np.r_[head, len(order)]))
+    return np.split(earlier, np.cumsum(counts)[:-1])
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +220,6 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _later(*keys: np.ndarray) -> np.ndarray:
-    """For each row, whether an equal row stands before it."""
-    order, new = _runs(*keys)
-    out = np.empty(len(order), bool)
-    out[order] = ~new
-    return out
-
-
 def _deal(bucket: np.ndarray) -> list[np.ndarray]:
     """Row numbers by bucket, in order."""
     if not len(bucket):
@@ -174,63 +240,56 @@ class Work:
     def __init__(self, row: dict, buckets: int):
         self.block = Block(zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=1 << 31) if row["data"] else b"", np.array(row["sizes"], np.int64))
         self.buckets = buckets
-        self.answers = [{a["bucket"]: a["bits"] for a in row.get(k) or []} for k in ("phrase_bits", "group_bits", "window_bits")]
-
-    def _ask(self, bucket: np.ndarray, *columns: np.ndarray):
-        return [(int(bucket[rows[0]]), b"".join(c[rows].tobytes() for c in columns)) for rows in _deal(bucket)]
-
-    def _told(self, which: int, bucket: np.ndarray, width: int) -> np.ndarray:
-        """The answers to what was asked, `width` bits each, as numbers."""
-        out = np.zeros(len(bucket), np.uint8)
-        for rows in _deal(bucket):
-            bits = np.unpackbits(np.frombuffer(self.answers[which][int(bucket[rows[0]])], np.uint8), count=width * len(rows))
-            out[rows] = bits.reshape(-1, width) @ (1 << np.arange(width)[::-1]).astype(np.uint8)
-        return out
+        self.answers = [{a["bucket"]: a["bits"] for a in row.get(k) or []} for k in ("phrase_bits", "region_bits")]
 
     def _bucket(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.uint32)
+        return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
 
     def ask_phrases(self):
         h = self.block.phrases()
-        return self._ask(self._bucket(h), h.astype(np.uint32))
+        bucket = self._bucket(h)
+        return [(int(bucket[rows[0]]), h[rows].astype(np.uint32).tobytes()) for rows in _deal(bucket)]
 
-    def _groups(self):
+    def _regions(self):
+        """The regions, which of them are the first of their bytes here, and what is asked: row numbers by bucket."""
         h = self.block.phrases()
-        lo, hi, core, frame, bare = self.block.groups(self._told(0, self._bucket(h), 1).astype(bool))
-        later = np.zeros(len(lo), bool)
-        own = np.flatnonzero(~bare)
-        later[own] = _later(core[own], frame[own])
-        asked = np.flatnonzero(~bare & ~later)
-        return lo, hi, core, frame, bare, later, asked
-
-    def ask_groups(self):
-        _, _, core, frame, _, _, asked = self._groups()
-        return self._ask(self._bucket(core[asked]), core[asked].astype(np.uint32), frame[asked])
-
-    def _windows(self):
-        lo, hi, core, _, bare, later, asked = self._groups()
-        told = self._told(1, self._bucket(core[asked]), 2)
-        later[asked] = told == 1
-        single = bare.copy()
-        single[asked] = told == 2
-        size = (hi - lo + 1)[single]
-        at = np.repeat(lo[single], size) + _spread(size)
-        h = self.block.hash(at, at + LENGTH)
-        return lo[later], hi[later], at, h, _later(h)
-
-    def ask_windows(self):
-        _, _, _, h, again = self._windows()
-        return self._ask(self._bucket(h[~again]), h[~again])
+        repeated, bucket = np.zeros(len(h), bool), self._bucket(h)
+        for rows in _deal(bucket):
+            repeated[rows] = np.unpackbits(np.frombuffer(self.answers[0][int(bucket[rows[0]])], np.uint8), count=len(rows))
+        lo, hi, anchor, again = self.block.regions(repeated)
+        data, seen, first = self.block.bytes.tobytes(), set(), np.zeros(len(lo), bool)
+        held = [data[a:b] for a, b in zip(lo.tolist(), (hi + LENGTH).tolist(), strict=True)]
+        for k, x in enumerate(held):
+            if x not in seen:
+                seen.add(x)
+                first[k] = True
+        asked = np.flatnonzero(first)
+        return lo, hi, anchor, again, held, first, [asked[rows] for rows in _deal(self._bucket(anchor[asked]))]
+
+    def ask_regions(self):
+        """For each bucket: the number of regions, their anchors, sizes, whether an anchor comes again, and their bytes."""
+        _, _, anchor, again, held, _, asked = self._regions()
+        out = []
+        for rows in asked:
+            texts = [held[k] for k in rows.tolist()]
+            size = np.fromiter(map(len, texts), np.uint32, len(texts))
+            parts = (np.array([len(rows)], np.uint32), anchor[rows], size, again[rows].astype(np.uint8))
+            out.append((int(self._bucket(anchor[rows[:1]])[0]), b"".join([*(p.tobytes() for p in parts), *texts])))
+        return out
 
     def judge(self):
         """(n_bytes, n_removed, n_spans, kept_sha256) for each text."""
-        lo, hi, at, h, again = self._windows()
-        again[~again] = self._told(2, self._bucket(h[~again]), 1).astype(bool)
+        lo, hi, anchor, _, _, first, asked = self._regions()
         x, off = self.block.bytes, self.block.off
         change = np.zeros(len(x) + 1, np.int32)
-        for begin, end in ((lo, hi + LENGTH), (at[again], at[again] + LENGTH)):
-            np.add.at(change, begin, 1)
-            np.add.at(change, end, -1)
+        np.add.at(change, lo[~first], 1)
+        np.add.at(change, hi[~first] + LENGTH, -1)
+        for rows in asked:
+            count = (hi - lo + 1)[rows]
+            bits = np.unpackbits(np.frombuffer(self.answers[1][int(self._bucket(anchor[rows[:1]])[0])], np.uint8), count=int(count.sum())).astype(bool)
+            at = (np.repeat(lo[rows], count) + _spread(count))[bits]
+            np.add.at(change, at, 1)
+            np.add.at(change, at + LENGTH, -1)
         gone = np.cumsum(change[:-1]) > 0
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
@@ -243,30 +302,33 @@ class Work:
             yield b - a, cut, int(n_spans[b] - n_spans[a]), hashlib.sha256(kept.tobytes()).hexdigest()
 
 
-def _pack(batches):
-    from pyspark import TaskContext
+def _pack(block_bytes: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        press = zstandard.ZstdCompressor(level=1)
 
-    part, seq = TaskContext.get().partitionId(), 0
-    press = zstandard.ZstdCompressor(level=1)
+        def row(ids, texts):
+            nonlocal seq
+            seq += 1
+            sizes = pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), sizes, pa.array([press.compress(b"".join(texts))], pa.binary())], ["block_no", "doc_ids", "sizes", "data"])
 
-    def row(ids, texts):
-        nonlocal seq
-        seq += 1
-        sizes = pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), sizes, pa.array([press.compress(b"".join(texts))], pa.binary())], ["block_no", "doc_ids", "sizes", "data"])
+        ids, texts, size = [], [], 0
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = t or b""
+                if texts and size + len(t) > block_bytes:
+                    yield row(ids, texts)
+                    ids, texts, size = [], [], 0
+                ids.append(d)
+                texts.append(t)
+                size += len(t)
+        if texts:
+            yield row(ids, texts)
 
-    ids, texts, size = [], [], 0
-    for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = t or b""
-            if texts and size + len(t) > BLOCK_BYTES:
-                yield row(ids, texts)
-                ids, texts, size = [], [], 0
-            ids.append(d)
-            texts.append(t)
-            size += len(t)
-    if texts:
-        yield row(ids, texts)
+    return run
 
 
 def _asker(step: str, buckets: int):
@@ -280,94 +342,106 @@ def _asker(step: str, buckets: int):
     return run
 
 
-def _answer(columns: tuple, width: int, decide):
-    """One bucket: the keys of all blocks in corpus order, decided together, answered block by block."""
-    size = sum(np.dtype(c).itemsize for c in columns)
+def _answer(decide):
+    """One bucket: the messages of all blocks in corpus order, decided together, answered block by block."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block_no")
-        parts: list[list[np.ndarray]] = [[] for _ in columns]
-        counts = []
-        for raw in t.column("keys"):
-            raw = raw.as_buffer()
-            n, at = raw.size // size, 0
-            counts.append(n)
-            for k, c in enumerate(columns):
-                parts[k].append(np.frombuffer(raw, c, n, at))
-                at += n * np.dtype(c).itemsize
-        told = decide(*(np.concatenate(p) for p in parts))
-        bits = [np.packbits((part[:, None] >> np.arange(width)[::-1]) & 1).tobytes() for part in np.split(told.astype(np.uint8), np.cumsum(counts)[:-1])]
+        bits = decide([raw.as_buffer().to_pybytes() for raw in t.column("keys")])
         return pa.table({"block_no": t.column("block_no"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     return run
 
 
-def _seen_twice(h: np.ndarray) -> np.ndarray:
+def _seen_twice(messages: list[bytes]) -> list[bytes]:
+    h = np.frombuffer(b"".join(messages), "<u4")
     order, new = _runs(h)
     out = np.empty(len(h), bool)
     out[order] = ~new | np.r_[~new[1:], False]
+    return [np.packbits(p).tobytes() for p in np.split(out, np.cumsum([len(m) // 4 for m in messages])[:-1])]
+
+
+def _settle(messages: list[bytes]) -> list[bytes]:
+    """Which windows of the regions told stand earlier, a bit for each; messages as ask_regions makes them, in corpus order."""
+    number: dict[bytes, int] = {}  # distinct regions, by first appearance
+    anchors: dict[int, list[int]] = {}
+    unsure: set[int] = set()
+    told: list[list[tuple[int, bool]]] = []
+    for m in messages:
+        n = int(np.frombuffer(m, np.uint32, 1)[0])
+        anchor = np.frombuffer(m, np.uint64, n, 4).tolist()
+        size = np.frombuffer(m, np.uint32, n, 4 + 8 * n)
+        again = np.frombuffer(m, np.uint8, n, 4 + 12 * n).tolist()
+        at, mine = 4 + 13 * n, []
+        for a, z, r in zip(anchor, size.tolist(), again, strict=True):
+            x = m[at : at + z]
+            at += z
+            if known := x in number:
+                k = number[x]
+            else:
+                k = number[x] = len(number)
+                anchors.setdefault(a, []).append(k)
+                if r:
+                    unsure.add(a)
+            mine.append((k, known))
+        told.append(mine)
+    texts = list(number)
+    open_ones = sorted(k for a, ks in anchors.items() if len(ks) > 1 or a in unsure for k in ks)
+    earlier = dict(zip(open_ones, stands_earlier([texts[k] for k in open_ones]), strict=True)) if open_ones else {}
+    out = []
+    for mine in told:
+        parts = [np.ones(len(texts[k]) - LENGTH + 1, bool) if known else earlier.get(k, np.zeros(len(texts[k]) - LENGTH + 1, bool)) for k, known in mine]
+        out.append(np.packbits(np.concatenate(parts)).tobytes())
     return out
 
 
-def _settle(core: np.ndarray, frame: np.ndarray) -> np.ndarray:
-    """1: an equal frame stands earlier; 2: the first of its frame, but the core has others; 0: neither."""
-    order, new = _runs(core, frame)
-    c = core[order]
-    head = np.r_[True, c[1:] != c[:-1]] if len(c) else np.ones(0, bool)
-    frames = np.add.reduceat(new.astype(np.int64), np.flatnonzero(head)) if len(c) else np.zeros(0, np.int64)
-    many = frames[np.cumsum(head) - 1] > 1
-    out = np.empty(len(c), np.uint8)
-    out[order] = np.where(~new, 1, np.where(many, 2, 0))
-    return out
-
-
-ROUNDS = (
-    ("ask_phrases", "phrase_bits", ("<u4",), 1, _seen_twice),
-    ("ask_groups", "group_bits", ("<u4", "<u8"), 2, _settle),
-    ("ask_windows", "window_bits", ("<u8",), 1, _later),
-)
+ROUNDS = (("ask_phrases", "phrase_bits", _seen_twice), ("ask_regions", "region_bits", _settle))
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """REPORT's columns for every row of docs(doc_id, text).
 
     Null text counts as empty; nothing is removed from texts below 100 bytes. A null doc_id comes before
-    all others; rows with one doc_id are ordered by text, and of repeated rows the first stays whole. An
-    empty table gives an empty result. Other columns are not looked at. One task holds one document whole,
-    with some 60 bytes of memory for each of its bytes.
+    all others; rows with one doc_id are ordered by a hash of their text, then by text, and of repeated
+    rows the first stays whole. An empty table gives an empty result. Other columns are not looked at. One
+    task holds one document whole, with some 80 bytes of memory for each of its bytes, or one bucket.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, work = f"blocks_{uuid.uuid4().hex}", scratch(spark, "repeats")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    small_batches(spark, 500)
-    packed = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_pack, "block_no long, doc_ids array<long>, sizes array<long>, data binary")
-    packed.write.bucketBy(parts, "block_no").option("compression", "uncompressed").option("path", f"{work}/blocks").saveAsTable(name)
-    del packed
-    release(spark)
-    small_batches(spark, 1)  # a row is a block
-    state = spark.table(name)
-    for step, column, kinds, width, decide in ROUNDS:
-        asked = state.mapInArrow(_asker(step, buckets), "bucket int, block_no long, keys binary")
-        asked.groupBy("bucket").applyInArrow(_answer(kinds, width, decide), "block_no long, bucket int, bits binary").write.parquet(f"{work}/{column}")
-        del asked
-        release(spark)
-        answers = spark.read.parquet(f"{work}/{column}").groupBy("block_no").agg(F.collect_list(F.struct("bucket", "bits")).alias(column))
-        state = state.join(answers.hint("shuffle_hash"), "block_no", "left")
-
-    def final(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                cols = zip(*Work(row, buckets).judge(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], [c.split()[0] for c in REPORT.split(", ")])
-
+    buckets = max(8, -(-total // bucket_bytes))
+    parts = max(min(total // PART_BYTES[0], FEW_PARTS), total // PART_BYTES[1], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(parts, MOST_PARTS)
     done = scratch(spark, "repeats-report")
-    state.mapInArrow(final, REPORT).write.parquet(done)
-    small_batches(spark)
-    spark.sql(f"drop table {name}")
-    remove(spark, work)
-    release(spark)
+    try:
+        small_batches(spark, 500)
+        rows = rows.withColumn("h", F.xxhash64("text"))
+        packed = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(_pack(block_bytes), "block_no long, doc_ids array<long>, sizes array<long>, data binary")
+        packed.write.bucketBy(parts, "block_no").option("compression", "uncompressed").option("path", f"{work}/blocks").saveAsTable(name)
+        del packed
+        release(spark)
+        small_batches(spark, 1)  # a row is a block
+        state = spark.table(name)
+        for step, column, decide in ROUNDS:
+            asked = state.mapInArrow(_asker(step, buckets), "bucket int, block_no long, keys binary").repartition(parts, "bucket")
+            asked.groupBy("bucket").applyInArrow(_answer(decide), "block_no long, bucket int, bits binary").write.parquet(f"{work}/{column}")
+            del asked
+            release(spark)
+            answers = spark.read.parquet(f"{work}/{column}").groupBy("block_no").agg(F.collect_list(F.struct("bucket", "bits")).alias(column))
+            state = state.join(answers.hint("shuffle_hash"), "block_no", "left")
+
+        def final(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    cols = zip(*Work(row, buckets).judge(), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], [c.split()[0] for c in REPORT.split(", ")])
+
+        state.mapInArrow(final, REPORT).write.parquet(done)
+    finally:
+        small_batches(spark)
+        spark.sql(f"drop table if exists {name}")
+        remove(spark, work)
+        release(spark)
     return spark.read.schema(REPORT).parquet(done)
