@@ -6,6 +6,7 @@ Each step is one lazy DataFrame; control comes back to the driver only for the f
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from ..config import STRONG_REASONS, THRESHOLDS
 from .documents import record_documents
 from .exact import Answer, answer
+from .index import SearchIndex
 from .resolve import resolve_one
 from .search import Query, analyse, bm25, fuzzy
 
@@ -70,21 +72,22 @@ def bm25_decision(rows: list, q: Query) -> tuple[bool, str]:
     return False, "bm25_score_below_threshold"
 
 
-def text_route(docs: DataFrame, query: str, limit: int = 10, mode: str = "metadata_text", route: list | None = None) -> Response:
-    """BM25, and fuzzy where that is of no use."""
+def text_route(docs: DataFrame | SearchIndex, query: str, limit: int = 10, mode: str = "metadata_text", route: list | None = None) -> Response:
+    """BM25, and fuzzy where that is of no use, over documents or a stored index of them."""
     q, route = analyse(query), list(route or [])
-    rows = bm25(docs, q, limit).collect()  # at most `limit` rows
+    ranked, near = (docs.bm25, docs.fuzzy) if isinstance(docs, SearchIndex) else (partial(bm25, docs), partial(fuzzy, docs))
+    rows = ranked(q, limit).collect()  # at most `limit` rows
     useful, reason = bm25_decision(rows, q)
     route.append({"method": "bm25", "accepted": useful, "reason": reason})
     if useful:
         return Response(query, mode, "bm25", len(rows), route, rows)
-    rows = fuzzy(docs, q, limit).collect()
+    rows = near(q, limit).collect()
     route.append({"method": "fuzzy", "accepted": bool(rows), "reason": "fallback_after_bm25_weak_or_empty"})
     return Response(query, mode, "fuzzy", len(rows), route, rows)
 
 
-def route(records: DataFrame, query: str, mode: str = "auto", limit: int = 10, aliases: dict | None = None) -> Response:
-    """Answer a question over records by the first method that is sure of itself."""
+def route(records: DataFrame, query: str, mode: str = "auto", limit: int = 10, aliases: dict | None = None, index: SearchIndex | None = None) -> Response:
+    """Answer a question over records by the first method that is sure of itself. With an index of them texts are not analysed again."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     query = query.strip()
@@ -103,6 +106,8 @@ def route(records: DataFrame, query: str, mode: str = "auto", limit: int = 10, a
                 return Response(query, shown, "exact_field", found.event_count, [step | {"outcome": "exact_field_confident_and_useful"}], found)
             step = step | {"accepted": False, "outcome": "exact_field_empty_or_not_useful"}
         trace.append(step)
+    if index is not None:
+        return text_route(index, query, limit, shown, trace)
     docs = record_documents(records).persist()  # read by both methods
     try:
         return text_route(docs, query, limit, shown, trace)

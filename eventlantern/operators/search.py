@@ -166,14 +166,19 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def scored_terms(docs: DataFrame, tokens: list[str], kinds=("partial", "fuzzy")) -> DataFrame:
-    """(term, query_term, rank, match, kind, df): every term of the corpus once against every query token."""
+def score_terms(terms: DataFrame, tokens: list[str], kinds=("partial", "fuzzy")) -> DataFrame:
+    """(term, query_term, rank, match, kind, df): every row of terms(term, df) once against every query token."""
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(t).alias("query_term")) for k, t in enumerate(tokens)]))
-    pairs = vocabulary(docs).where(F.length("term") >= 4).select("term", "df", asked.alias("q")).select("term", "df", "q.rank", "q.query_term")
+    pairs = terms.where(F.length("term") >= 4).select("term", "df", asked.alias("q")).select("term", "df", "q.rank", "q.query_term")
     pairs = pairs.withColumn("m", scoring.fuzzy_match(F.col("query_term"), F.col("term"))).where(F.col("m.kind").isin(*kinds))
     return pairs.select("term", "query_term", "rank", F.col("m.score").alias("match"), F.col("m.kind").alias("kind"), "df")
 
 
+def scored_terms(docs: DataFrame, tokens: list[str], kinds=("partial", "fuzzy")) -> DataFrame:
+    """score_terms over every term of the corpus."""
+    return score_terms(vocabulary(docs), tokens, kinds)
+
+
 def fuzzy_pairs(docs: DataFrame, q: Query) -> DataFrame:
     """Best match of each query token in each document that may match; all matches for a file-name query."""
     files = q.ids.get("file_name")

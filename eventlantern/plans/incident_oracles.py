@@ -6,7 +6,7 @@ from ..config import DISPLAY_FIELDS, SPARSE_FIELDS
 from ..functions.text import field_name_words
 from ..operators.search import analyse
 from .incidents import FILE_SEARCH, HOST_SEARCH, IP_SEARCH, ROUTES, TEXT_SEARCH
-from .oracles import ALL, TERM, fuzzy_terms_cte, ids, iso, lit, strings, words
+from .oracles import ALL, ORACLES as PLAIN, TERM, docs, fuzzy_terms_cte, ids, iso, lit, strings, words
 
 UUID = "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)"
 # Field, values, and where it is filled. In order of names, as search documents have it.
@@ -134,3 +134,9 @@ ORACLES = {
     "intake_checks": upload_checks(),
     "empty_table": "SELECT CAST(0 AS BIGINT) AS long_rows, CAST(0 AS BIGINT) AS documents",
 }
+
+# The index has to give what the searches without it give.
+ORACLES |= {
+    "index_build": f"WITH {docs()}, t AS (SELECT doc_id, unnest(tokens) AS term FROM docs), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms FROM c",
+    "index_bm25": PLAIN["bm25_topk"], "index_fuzzy": PLAIN["fuzzy_topk"], "index_bm25_identifier": ORACLES["bm25_identifier"], "index_fuzzy_file": ORACLES["fuzzy_file"], "index_fuzzy_host": ORACLES["fuzzy_host"], "index_routes": ORACLES["routes"],
+}

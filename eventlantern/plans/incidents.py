@@ -15,9 +15,10 @@ from ..config import load_aliases, load_descriptions, load_mapping
 from ..functions.times import format_time, parse_time
 from ..functions.variants import payload, plain, read_path
 from ..operators.display import result_rows
-from ..operators.documents import record_documents
+from ..operators.documents import record_documents, text_documents
 from ..operators.exact import answer, matching_rows
 from ..operators.extract import extract, long_form
+from ..operators.index import SearchIndex
 from ..operators.intake import run_intake
 from ..operators.inventory import inventory
 from ..operators.quality import coverage, density, raw_matches, record_checks
@@ -26,6 +27,8 @@ from ..operators.search import bm25, fuzzy, search
 from ..session import configure
 from ..sources.records import RECORDS, available, combine, load_records, records_files, relative, scan, write_bytes, write_records
 
+DOCUMENT_SEARCH = "The license of Version on Apache things"
+DOCUMENT_TYPO = "lisense aphache versoin"
 IP_SEARCH = "traffic from 192.0.2.7 high"
 FILE_SEARCH = "tol3.exe"
 HOST_SEARCH = "ws-12.corp.exmple.org"
@@ -142,8 +145,11 @@ def display_rows(spark, sf_dir):
     return result_rows(_documents(spark, sf_dir), FILE_SEARCH, "fuzzy", 50)
 
 
-def _steps(records: DataFrame, query: str, mode: str):
-    got = route(records, query, mode)
+ROUTE_ROWS = "query string, mode string, search_mode string, method string, result_count long, step long, step_method string, accepted boolean, reason string"
+
+
+def _steps(records: DataFrame, query: str, mode: str, index: SearchIndex | None = None):
+    got = route(records, query, mode, index=index)
     return [(query, mode, got.search_mode, got.method, got.result_count, k, s["method"], s["accepted"], s["reason"]) for k, s in enumerate(got.route)]
 
 
@@ -151,7 +157,7 @@ def routes(spark, sf_dir):
     """Every step of every route, over stored records."""
     records = stored_records(spark, sf_dir)
     rows = [s for q, mode in ROUTES for s in _steps(records, q, mode)]
-    return spark.createDataFrame(rows, "query string, mode string, search_mode string, method string, result_count long, step long, step_method string, accepted boolean, reason string")
+    return spark.createDataFrame(rows, ROUTE_ROWS)
 
 
 def exact_answer(spark, sf_dir):
@@ -273,7 +279,59 @@ def empty_table(spark, sf_dir):
     return long_form(none).agg(F.count("*").alias("long_rows")).crossJoin(record_documents(none).agg(F.count("*").alias("documents")))
 
 
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(spark, sf_dir, kind: str) -> SearchIndex:
+    """The index of all documents or records, built once for each application, as searches read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _indexes:
+        docs = _documents(spark, sf_dir) if kind == "records" else text_documents(configure(spark).read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", F.col("text"), "source")
+        _indexes[key] = SearchIndex.build(docs, _scratch(spark, f"index-{kind}"))
+    return _indexes[key]
+
+
+def index_build(spark, sf_dir):
+    """A new index of all documents: what its tables hold."""
+    docs = text_documents(configure(spark).read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", F.col("text"), "source")
+    made = SearchIndex.build(docs, _scratch(spark, "index-build"))
+    return made.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens")).select("postings", "tokens", F.lit(made.n).cast("long").alias("documents"), F.lit(made.terms.count()).cast("long").alias("terms"))
+
+
+def _ranks(rows: DataFrame):
+    terms = F.array_join(F.transform("matched_terms", lambda m: F.concat_ws(">", m["query_term"], m["matched_term"])), ",")
+    return rows.select(F.col("event_id").alias("doc_id"), "score", terms.alias("matched_terms"), F.array_join("matched_identifiers", ",").alias("matched_identifiers"))
+
+
+def index_bm25(spark, sf_dir):
+    return _ranks(_index(spark, sf_dir, "documents").bm25(DOCUMENT_SEARCH))
+
+
+def index_fuzzy(spark, sf_dir):
+    return _ranks(_index(spark, sf_dir, "documents").fuzzy(DOCUMENT_TYPO))
+
+
+def index_bm25_identifier(spark, sf_dir):
+    return _found(_index(spark, sf_dir, "records").bm25(IP_SEARCH))
+
+
+def index_fuzzy_file(spark, sf_dir):
+    return _found(_index(spark, sf_dir, "records").fuzzy(FILE_SEARCH))
+
+
+def index_fuzzy_host(spark, sf_dir):
+    return _found(_index(spark, sf_dir, "records").fuzzy(HOST_SEARCH))
+
+
+def index_routes(spark, sf_dir):
+    """The routes of `routes`, with texts read from the index."""
+    records, index = stored_records(spark, sf_dir), _index(spark, sf_dir, "records")
+    rows = [s for q, mode in ROUTES for s in _steps(records, q, mode, index)]
+    return spark.createDataFrame(rows, ROUTE_ROWS)
+
+
 QUERIES = {
+    "index_build": index_build, "index_bm25": index_bm25, "index_fuzzy": index_fuzzy, "index_bm25_identifier": index_bm25_identifier, "index_fuzzy_file": index_fuzzy_file, "index_fuzzy_host": index_fuzzy_host, "index_routes": index_routes,
     "mapped_fields": mapped_fields, "record_identity": record_identity, "search_documents": search_documents, "bm25_identifier": bm25_identifier, "bm25_records": bm25_records, "fuzzy_file": fuzzy_file,
     "fuzzy_host": fuzzy_host, "display_rows": display_rows, "routes": routes, "exact_answer": exact_answer, "exact_events": exact_events, "stored_scope": stored_scope, "stored_scopes": stored_scopes,
     "json_records": json_records, "file_inventory": file_inventory, "no_inventory": no_inventory, "raw_match": raw_match, "validation_counts": validation_counts, "mapping_coverage": mapping_coverage,

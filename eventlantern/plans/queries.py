@@ -20,11 +20,12 @@ from ..operators.resolve import phrase_table, resolve
 from ..operators.router import text_route
 from ..operators.search import analyse, bm25, bm25_batch, exact_ids, fuzzy, fuzzy_pairs, near_hosts, scored_terms, vocabulary
 from ..session import configure
+from .incidents import DOCUMENT_SEARCH, DOCUMENT_TYPO
 from .incidents import QUERIES as INCIDENT_QUERIES
 
-QUERY = "The license of Version on Apache things"
+QUERY = DOCUMENT_SEARCH
 IP_QUERY = "192.168.0.1"
-TYPO = "lisense aphache versoin"
+TYPO = DOCUMENT_TYPO
 HOST_QUERY = "thher.example.org"
 QUESTIONS = ("What is the source ip?", "source ip", "show the registry key value", "command line of the process", "file", "hostname of the computer", "user name", "zebra")
 EVENT_FIELDS = {"type": ["event.event_type"], "user": ["event.user_id"], "k": ["utf8_payload.missing", "utf8_payload.k"], "none": ["utf8_payload.absent[].x"]}
