@@ -8,6 +8,7 @@ from .chat import CLOSE, CONTROL, OPEN
 from .decontaminate import THRESHOLD as CONTAINMENT
 from .decontaminate import WIDTH
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, WORD
+from .repeats import LENGTH
 from .secrets import RULES
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,6 +43,18 @@ a AS (SELECT d.r, doc_id, {counts}, coalesce(string_agg({told}, ',' ORDER BY s,
 SELECT doc_id, {', '.join(f'n_{k}' for k in base)}, sha256(own) AS base_sha256, spans FROM a"""
 
 
+def repeats() -> str:
+    """Every window of LENGTH bytes as hexadecimal text, cut out of pieces of a kilobyte; runs of repeated windows are islands."""
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, c, substring(h, 2048 * c + 1, 2048 + {2 * LENGTH - 2}) AS piece FROM (SELECT r, h, unnest(range((len(h) + 2047) // 2048)) AS c FROM d)),
+w AS (SELECT r, 1024 * c + i AS p, substring(piece, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT r, c, piece, unnest(range(least(1024, len(piece) // 2 - {LENGTH - 1}))) AS i FROM c WHERE len(piece) >= {2 * LENGTH})),
+f AS (SELECT s, min(r * 1000000000 + p) AS m FROM w GROUP BY s), l AS (SELECT r, p FROM w JOIN f USING (s) WHERE r * 1000000000 + p > m),
+g AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM l), n AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM g),
+x AS (SELECT r, k, min(p) AS a, max(p) + {LENGTH} AS b FROM n GROUP BY r, k), y AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM x),
+t AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept FROM y JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+
+
 def licenses() -> str:
     def places(phrase: str) -> str:
         test = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))
@@ -73,4 +86,4 @@ a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
 
 
-ORACLES = {"op1_decontaminate": decontaminate(), "op3_secrets": secrets(), "op7_licenses": licenses(), "op9_chat": chat()}
+ORACLES = {"op1_decontaminate": decontaminate(), "op3_secrets": secrets(), "op4_repeats": repeats(), "op7_licenses": licenses(), "op9_chat": chat()}
