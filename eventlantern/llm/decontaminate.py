@@ -181,7 +181,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
     Shingles are distinct runs of five words; an item with fewer words is one shingle. Null texts and
     items, and items without a word, match nothing. Repeated benchmark rows count once, repeated
-    documents each come back. Either table may be empty. Other columns are not looked at.
+    documents each come back. Texts are searched whole, however long. Either table may be empty. Other
+    columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -204,7 +205,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that contain no item to the threshold; columns as they are."""
+    """The rows of docs that contain no item to the threshold; columns as they are, whatever they are called.
+
+    Null and empty texts contain nothing and stay, whatever their doc_id; repeated rows share their fate. Texts
+    are searched whole, however long. Either table may be empty.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     for block in item_blocks(benchmark):

@@ -3,8 +3,12 @@
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of
 `threshold`. Texts that share a band of ROWS minima go to one candidate group (a component over shared
 bands), so a pair at 0.8 is proposed with a probability of 1 - (1 - 0.8^4)^24, about 0.999997. A group is
-cut into chunks by hash; every pair of chunks is one unit of work, in which all pairs are counted through
-an inverted index. A unit returns a spanning forest of the links it finds, never all pairs of a cluster.
+cut into chunks by hash. Each chunk is compared with itself and with the group's pivot, its smallest
+member; texts that are linked to the pivot, directly or through others, are one class already and need
+not be compared with each other. Only the rest is then compared with the whole group, chunk by chunk. So
+a group of m texts around one original costs m rows, and r texts apart from it 2 m r / CHUNK_ROWS more. A
+unit of work counts its pairs through an inverted index and returns a spanning forest of the links it
+finds, never all pairs of a cluster.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -83,7 +87,7 @@ def near_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float):
 
 def _units(threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        group, i, j, chunk, node = (t.column(c).to_numpy() for c in ("group", "i", "j", "chunk", "node"))
+        group, i, j, side, node = (t.column(c).to_numpy() for c in ("group", "i", "j", "side", "node"))
         text = t.column("text")
         order = np.lexsort((j, i, group))
         g = np.stack([group[order], i[order], j[order]])
@@ -99,7 +103,7 @@ def _units(threshold: float):
                     x = root[x]
                 return x
 
-            for x, y in near_pairs([shingles(text[k].as_py()) for k in at.tolist()], chunk[at], threshold):
+            for x, y in near_pairs([shingles(text[k].as_py()) for k in at.tolist()], side[at], threshold):
                 p, q = find(x), find(y)
                 if p != q:
                     root[max(p, q)] = min(p, q)
@@ -123,25 +127,54 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).distinct()
     texts = materialize(rows.join(materialize(members, "near-members"), "node").dropDuplicates(["node"]).select("node", F.col("root").alias("group"), "text"), "near-texts")
     size = F.octet_length("text")
-    groups = texts.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum(size) / CHUNK_BYTES)).cast("int").alias("chunks"))
-    cut = texts.join(materialize(groups, "near-groups"), "group").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int"))
-    total = cut.agg(F.sum("chunks"), F.sum(F.col("chunks") * size)).first()
-    parts = max(1, (total[0] or 0) // TASK_ROWS, (total[1] or 0) // TASK_BYTES)
-    units = (
-        cut.select("group", "node", "text", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("group", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "text")
-        .withColumn("unit", F.pmod(F.xxhash64("group", "i", "j"), F.lit(parts)))
-    )
-    links = units.groupBy("unit").applyInArrow(_units(threshold), "a long, b long")
-    near = components(links, "near-links")
-    return near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).distinct()
+
+    def chunks(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum(size) / CHUNK_BYTES)).cast("int").alias("chunks"))
+
+    def links(units: DataFrame, name: str) -> DataFrame:
+        units = materialize(units.select("group", "i", "j", "side", "node", "text"), name)
+        total = units.agg(F.count("*"), F.sum(size)).first()
+        parts = max(1, (total[0] or 0) // TASK_ROWS, (total[1] or 0) // TASK_BYTES)
+        units = units.withColumn("unit", F.pmod(F.xxhash64("group", "i", "j"), F.lit(parts)))
+        return units.groupBy("unit").applyInArrow(_units(threshold), "a long, b long")
+
+    def sides(k: int) -> Column:
+        return F.lit(k).alias("side")
+
+    def deal(rows: DataFrame, parts: str, salt: int) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), parts).cast("int")
+
+    groups = materialize(chunks(texts), "near-groups")
+    cut = texts.join(groups, "group").withColumn("i", deal(texts, "chunks", 1))
+    pivots = cut.where("node = group").select("group", "node", "text", F.col("i").alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i")).where("i <> own")
+    first = cut.select("group", "i", "node", "text").unionByName(pivots.select("group", "i", "node", "text"))
+    near = materialize(links(first.select("group", "i", F.lit(-1).alias("j"), sides(0), "node", "text"), "near-units"), "near-links-one")
+    told = _named(components(near, "near-links"))
+    classes = texts.select("group", "node").join(told, "node", "left").select("group", "node", F.coalesce("root", "node").alias("class"))
+    classes = materialize(classes, "near-classes-one")
+    main = classes.where("node = group").select("group", F.col("class").alias("main"))
+    apart = materialize(classes.join(main, "group").where("class <> main").select("node"), "near-apart")
+    if not apart.isEmpty():
+        rest = texts.join(apart, "node", "left_semi")
+        many = materialize(chunks(rest).select("group", F.col("chunks").alias("others")), "near-others")
+        some = rest.join(many, "group").join(groups, "group").select("group", deal(rest, "others", 2).alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), sides(0), "node", "text")
+        every = cut.join(many, "group").select("group", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), sides(1), "node", "text")
+        near = near.unionByName(links(some.unionByName(every), "near-units"))
+        told = _named(components(near, "near-links"))
+    return told
+
+
+def _named(roots: DataFrame) -> DataFrame:
+    """Every node of a class with its root, the root among them."""
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of what simhash.keep_one keeps, the smallest doc_id of every class of near copies; columns of docs as they are.
 
     Rows with a null doc_id stay and remove no other. Of repeated rows with one doc_id all stay. Texts
-    without words have no near copy.
+    without words have no near copy. An empty table gives an empty result; extra columns stay, whatever
+    they are called.
     """
     docs = materialize(simhash.keep_one(docs), "near-docs")
     classes = materialize(near_classes(docs, threshold), "near-classes")
