@@ -37,8 +37,9 @@ LENGTH = 100
 TRIGGER = 8
 ONE_IN = 16  # bytes for each trigger, on average
 GRAM = 32
-BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 32 << 20  # text for each bucket
+BLOCK_BYTES = 1 << 20
+BUCKET_BYTES = 16 << 20  # text for each bucket
+ORDER_BYTES = 1 << 19  # regions that are put in order at once; an anchor's are never parted
 PART_BYTES = (8 << 20, 128 << 20)  # text for each partition, while they are few and at most
 FEW_PARTS, MOST_PARTS = 4096, 100_000
 
@@ -153,8 +154,13 @@ def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarra
     """
     if not len(symbols):
         return np.empty(0, np.int64)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    here, width = np.arange(len(symbols)), 1
+    here, width, key = np.arange(len(symbols)), 1, symbols
+    if symbols.dtype == np.uint8:  # seven bytes and ends fit in one number
+        width, key = 7, np.zeros(len(symbols), np.int64)
+        for k in range(width):
+            then = here + k
+            key = key << 9 | np.where(then < ends, symbols[np.minimum(then, len(symbols) - 1)].astype(np.int64) + 1, 0)
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
     while width < depth:
         then = here + width
         pair = np.where(then < ends, rank[np.minimum(then, len(symbols) - 1)], 0)
@@ -386,8 +392,16 @@ def _settle(messages: list[bytes]) -> list[bytes]:
             mine.append((k, known))
         told.append(mine)
     texts = list(number)
-    open_ones = sorted(k for a, ks in anchors.items() if len(ks) > 1 or a in unsure for k in ks)
-    earlier = dict(zip(open_ones, stands_earlier([texts[k] for k in open_ones]), strict=True)) if open_ones else {}
+    earlier: dict[int, np.ndarray] = {}
+    batch, size = [], 0
+    open_ones = [ks for a, ks in anchors.items() if len(ks) > 1 or a in unsure]
+    for k, ks in enumerate(open_ones, 1):
+        batch += ks
+        size += sum(len(texts[x]) for x in ks)
+        if size >= ORDER_BYTES or k == len(open_ones):
+            batch.sort()
+            earlier.update(zip(batch, stands_earlier([texts[x] for x in batch]), strict=True))
+            batch, size = [], 0
     out = []
     for mine in told:
         parts = [np.ones(len(texts[k]) - LENGTH + 1, bool) if known else earlier.get(k, np.zeros(len(texts[k]) - LENGTH + 1, bool)) for k, known in mine]
@@ -404,8 +418,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
 
     Null text counts as empty; nothing is removed from texts below 100 bytes. A null doc_id comes before
     all others; rows with one doc_id are ordered by a hash of their text, then by text, and of repeated
-    rows the first stays whole. An empty table gives an empty result. Other columns are not looked at. One
-    task holds one document whole, with some 80 bytes of memory for each of its bytes, or one bucket.
+    rows the first stays whole. An empty table gives an empty result. Other columns are not looked at. A
+    task holds one block, or one document whole if that is longer, with some 80 bytes of memory for each
+    of its bytes; or the distinct regions of one bucket, of which it puts ORDER_BYTES, or one anchor's if
+    that is more, in order at once.
     """
     spark = docs.sparkSession
     name, work = f"blocks_{uuid.uuid4().hex}", scratch(spark, "repeats")
