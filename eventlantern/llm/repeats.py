@@ -203,8 +203,9 @@ def stands_earlier(texts: list[bytes]) -> list[np.ndarray]:
     order = np.lexsort((at, follows, rest))
     a, b = at[order[:-1]], at[order[1:]]
     same = np.ones(len(a), bool)
-    for k in range(LENGTH):
-        same[same] = block.bytes[a[same] + k] == block.bytes[b[same] + k]
+    eight = np.lib.stride_tricks.as_strided(block.bytes, (max(n - 7, 0), 8), (1, 1))
+    for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        same[same] = (eight[a[same] + k].view(np.uint64) == eight[b[same] + k].view(np.uint64)).ravel()
     earlier = np.zeros(len(at), bool)
     if len(order):
         head = np.flatnonzero(np.r_[True, ~same])
