@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import load_mapping
-from ..functions.variants import has_value, payload, plain, read_field
+from ..functions.variants import has_value, payload, plain, read_fields
 
 
 def extract(events: DataFrame, mapping: dict[str, list[str]] | None = None) -> DataFrame:
@@ -17,13 +17,13 @@ def extract(events: DataFrame, mapping: dict[str, list[str]] | None = None) -> D
     """
     mapping = mapping or load_mapping()
     rows = events.select("offense_id", "event_index", "event", payload(F.col("event")).alias("_p"))
-    e, p = F.col("event"), F.col("_p")
-    fields = F.create_map(*[x for name, paths in mapping.items() for x in (F.lit(name), read_field(e, p, paths))])
+    fields = read_fields(F.col("event"), F.col("_p"), mapping)
     return rows.select("event_index", F.try_variant_get("_p", "$.id", "bigint").alias("event_id"), F.col("event_index").alias("load_ord"), fields.alias("fields"), "offense_id")
 
 
 def long_form(records: DataFrame) -> DataFrame:
     """(offense_id, event_index, load_ord, field, pos, value): a row for each value of each field."""
-    entries = records.select("offense_id", "event_index", "load_ord", F.explode("fields").alias("field", "held")).where(has_value(F.col("held")))
-    rows = entries.select("offense_id", "event_index", "load_ord", "field", F.posexplode("held.items").alias("pos", "item"))
-    return rows.withColumn("value", plain(F.col("item"))).where("value is not null and value <> ''").drop("item")
+    held = F.filter(F.map_entries("fields"), lambda e: has_value(e["value"]))
+    told = F.transform(held, lambda e: F.transform(e["value"]["items"], lambda item, k: F.struct(e["key"].alias("field"), k.alias("pos"), plain(item).alias("value"))))
+    # In one generator: a filter above it would be pushed below and repeat the extraction.
+    return records.select("offense_id", "event_index", "load_ord", F.inline(F.filter(F.flatten(told), lambda x: x["value"].isNotNull() & (x["value"] != ""))))
