@@ -53,3 +53,27 @@ def test_text_of_values_without_and_with_escapes(spark):
     items = ['"plain"', '""', '"a\\"b"', '"\\u0041"', '"a" ', "12", "1.50", "-0", "true", "null", '{"b":1,"a":"x"}', '["x","",null,2]', None, '"a\nb"', '"']
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(items)], "k int, x string").select("k", plain(F.col("x")).alias("t")).orderBy("k").collect()
     assert [r["t"] for r in rows][:7] == ["plain", "", 'a"b', "A", "a", "12", "1.5"] and [r["t"] for r in rows][8:14] == ["true", None, "b 1 a x", "x 2", None, None]
+
+
+def test_shared_files_give_what_folders_give(spark, records, tmp_path):
+    from eventlantern.sources.records import scan_shared, write_shared
+
+    write_shared(records.repartition(2, "offense_id"), f"{tmp_path}/r")
+    key, told = records.first()["offense_id"], lambda df: sorted((r["offense_id"], r["load_ord"], r["event_id"], str(r["fields"])) for r in df.collect())
+    assert told(scan_shared(spark, f"{tmp_path}/r")) == told(records)
+    assert told(scan_shared(spark, f"{tmp_path}/r", key)) == told(records.where(F.col("offense_id") == key))
+    assert not [n for n in __import__("os").listdir(f"{tmp_path}/r") if n.startswith("offense_id=")]
+
+
+def test_a_file_for_each_incident_is_written_by_the_tasks(spark, tmp_path):
+    from eventlantern.sources.records import records_files, write_texts
+
+    rows = spark.createDataFrame([("7", '{"a":1}'), ("a b", '{"b":"é"}')], "offense_id string, value string")
+    write_texts(rows, f"{tmp_path}/j", "event_metadata_records_{}.json")
+    assert list(records_files(spark, f"{tmp_path}/j")) == ["7", "a b"] and (tmp_path / "j/event_metadata_records_a b.json").read_text().strip() == '{"b":"é"}'
+
+
+def test_a_search_does_not_analyse_stored_documents_again(spark, tiny):
+    from eventlantern.plans.incidents import _documents
+
+    assert "regexp_extract_all" not in _documents(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
