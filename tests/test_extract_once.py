@@ -77,3 +77,13 @@ def test_a_search_does_not_analyse_stored_documents_again(spark, tiny):
     from eventlantern.plans.incidents import _documents
 
     assert "regexp_extract_all" not in _documents(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_of_records_are_made_without_storing_the_records(spark, tiny, tmp_path):
+    from eventlantern.plans import incidents
+
+    (tmp_path / "events.parquet").symlink_to(f"{tiny}/events.parquet")
+    docs = incidents._documents(spark, str(tmp_path))
+    assert (spark.sparkContext.applicationId, str(tmp_path)) not in incidents._stored
+    stored = incidents.record_documents(incidents.stored_records(spark, str(tmp_path)))
+    assert not docs.exceptAll(stored).count() and not stored.exceptAll(docs).count()
